@@ -142,9 +142,9 @@ def prefixes(docs: DataFrame, s: Settings) -> DataFrame:
 def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of ``2 ** bits`` bits over the long column ``key``, two bits a key; ``2 ** bits / 64`` numbers reach the driver."""
     at = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(j), "key"), F.lit(1 << bits)) for j in (1, 2)])).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))).alias("mask")).toPandas()
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("mask")).toPandas()
     out = np.zeros((1 << bits) // 64, np.uint64)
-    out[words.word.to_numpy()] = words["mask"].to_numpy().astype(np.uint64)
+    out[words.word.to_numpy()] = words["mask"].to_numpy().view(np.uint64)
     return out
 
 
