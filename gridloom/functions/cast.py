@@ -41,6 +41,8 @@ def checked_cast(value: Column, kind: str, source: str | None = None) -> tuple[C
         over = x.isNotNull() & ~F.isnan(x) & (F.abs(x) > F.lit(FLOAT_MAX))
         return F.when(over, F.signum(x) * F.lit(FLOAT_MAX)).otherwise(x).cast("float"), over
     fits = in_range(value, kind)
+    if kind in ("int64", "uint64"):  # the whole part of a double may exceed a long, or lose digits as one
+        value = F.when(fits, value).cast("decimal(38,6)")
     cut = F.when(fits, F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)))
     return cut.cast(t.spark), value.isNotNull() & ~fits
 

@@ -14,9 +14,9 @@ def diff_values(a: DataFrame, b: DataFrame, ndims: int, keep_equal: bool = False
     Values are compared as they are, so NaN equals NaN and a null equals a null.
     """
     keys = dims(ndims)
-    left = a.select(*keys, F.col("value").alias("value_a"), F.lit(True).alias("_a"))
-    right = b.select(*keys, F.col("value").alias("value_b"), F.lit(True).alias("_b"))
-    both = left.join(right, keys, "full_outer")
+    left = a.select(*keys, F.lit(0).alias("_at"), F.col("value").alias("value_a"), F.lit(True).alias("_a"))
+    right = b.select(*keys, F.lit(0).alias("_at"), F.col("value").alias("value_b"), F.lit(True).alias("_b"))
+    both = left.join(right, keys or ["_at"], "full_outer")
     kind = (
         F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b").when(~F.col("value_a").eqNullSafe(F.col("value_b")), "changed").otherwise("equal")
     )

@@ -38,6 +38,8 @@ def grid(spark, shape: Sequence[int], start: Sequence[int] | None = None) -> Dat
 
 def densify(v: DataFrame, shape: Sequence[int], fill: Column, start: Sequence[int] | None = None, mark: bool = False) -> DataFrame:
     """A value at every index; where ``v`` has none, ``fill``. With ``mark``, ``is_fill`` tells which."""
+    if not len(shape):
+        return v.select(F.coalesce("value", fill).alias("value"), *[F.col("value").isNull().alias("is_fill")] * mark)
     keys = dims(len(shape))
     cells = v.select(*keys, F.col("value").alias("_value"), F.lit(True).alias("_there"))
     full = grid(v.sparkSession, shape, start).join(cells, keys, "left")
