@@ -20,7 +20,7 @@ def in_range(value: Column, kind: str) -> Column:
         return value.isNotNull()
     if kind == "int64":  # the limits are not exact as doubles
         wide = value.cast("decimal(38,6)")
-        return (wide > F.lit(t.low - 1).cast("decimal(38,6)")) & (wide < F.lit(t.high + 1).cast("decimal(38,6)"))
+        return (wide > F.lit(str(t.low - 1)).cast("decimal(38,6)")) & (wide < F.lit(str(t.high + 1)).cast("decimal(38,6)"))
     if kind == "uint64":
         wide = value.cast("decimal(38,6)")
         return (wide > F.lit(-1)) & (wide < F.lit("18446744073709551616").cast("decimal(38,6)"))
@@ -41,10 +41,13 @@ def checked_cast(value: Column, kind: str, source: str | None = None) -> tuple[C
         over = x.isNotNull() & ~F.isnan(x) & (F.abs(x) > F.lit(FLOAT_MAX))
         return F.when(over, F.signum(x) * F.lit(FLOAT_MAX)).otherwise(x).cast("float"), over
     fits = in_range(value, kind)
-    if kind in ("int64", "uint64"):  # the whole part of a double may exceed a long, or lose digits as one
-        value = F.when(fits, value).cast("decimal(38,6)")
-    cut = F.when(fits, F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)))
-    return cut.cast(t.spark), value.isNotNull() & ~fits
+    cut = F.when(fits, F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value))).cast(t.spark)
+    if kind == "uint64":  # the whole part of a double can exceed a long: it is put together from two halves
+        x, half = value.cast("double"), F.lit(2.0**32)
+        high = F.floor(x / half)
+        joined = (high.cast("decimal(20,0)") * F.lit(2**32).cast("decimal(20,0)") + F.floor(x - high * half).cast("decimal(20,0)")).cast(t.spark)
+        cut = F.when(fits & F.typeof(value).isin("double", "float") & (x >= F.lit(2.0**63)), joined).otherwise(cut)
+    return cut, value.isNotNull() & ~fits
 
 
 def byte_bits(value: Column, unsigned: bool) -> Column:
