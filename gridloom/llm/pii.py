@@ -141,7 +141,8 @@ def pii_report(docs: DataFrame, min_score: float = 0.6) -> DataFrame:
 def redact(docs: DataFrame, min_score: float = 0.6) -> DataFrame:
     """doc_id and the text with every span replaced by its kind in angle brackets; of overlapping spans the first stays."""
     found = findings(docs, min_score, keep_text=True)
-    marks = F.array_sort(F.concat(*[F.transform(k, lambda x, k=k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))) for k in KINDS]))
+    named = lambda kind: F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("k")))
+    marks = F.array_sort(F.concat(*[named(k) for k in KINDS]))
     text = F.col("_text")
     step = lambda a, m: F.when(m["s"] < a["at"], a).otherwise(
         F.struct(m["e"].alias("at"), F.concat(a["out"], text.substr(a["at"] + 1, m["s"] - a["at"]), F.lit("<"), m["k"], F.lit(">")).alias("out"))
