@@ -18,12 +18,11 @@ def in_range(value: Column, kind: str) -> Column:
     t = TYPES[kind]
     if t.low is None:
         return value.isNotNull()
-    if kind == "int64":  # the limits are not exact as doubles
-        wide = value.cast("decimal(38,6)")
-        return (wide > F.lit(str(t.low - 1)).cast("decimal(38,6)")) & (wide < F.lit(str(t.high + 1)).cast("decimal(38,6)"))
-    if kind == "uint64":
-        wide = value.cast("decimal(38,6)")
-        return (wide > F.lit(-1)) & (wide < F.lit("18446744073709551616").cast("decimal(38,6)"))
+    if kind in ("int64", "uint64"):  # as doubles their ends are powers of two, and exact; other types compare as decimals
+        low, high = (-(2.0**63), 2.0**63) if kind == "int64" else (0.0, 2.0**64)
+        x, wide = value.cast("double"), F.when(~F.isnan(value.cast("double")), value).cast("decimal(38,6)")
+        exact = (wide >= F.lit(str(t.low)).cast("decimal(38,6)")) & (wide < F.lit(str(t.high + 1)).cast("decimal(38,6)"))
+        return F.when(F.typeof(value).isin("double", "float"), ~F.isnan(x) & (x > (low if kind == "int64" else -1.0)) & (x < high) | (x == low)).otherwise(exact)
     return ~F.isnan(value.cast("double")) & (value >= F.lit(t.low)) & (value <= F.lit(t.high))
 
 
