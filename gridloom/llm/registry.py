@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from gridloom.llm import sql
 
-    return {"op1_quality_rules": sql.QUALITY, "op2_line_dedup": sql.LINE_DEDUP, "op10_mixing": sql.MIXING}
+    return {"op1_quality_rules": sql.QUALITY, "op2_line_dedup": sql.LINE_DEDUP, "op8_warc": sql.WARC, "op9_ngram_join": sql.NGRAM_JOIN, "op10_mixing": sql.MIXING}
