@@ -13,6 +13,8 @@ from gridloom.operators import boxes as B
 from gridloom.operators import fill as L
 from gridloom.operators import reduce as R
 from gridloom.operators import select as S
+from gridloom.operators.chunks import chunk_box as chunk_select
+from gridloom.operators.chunks import reshape, to_chunks
 from gridloom.operators.diff import diff_summary, diff_values
 from gridloom.plans import couple as C
 from gridloom.plans.catalog import Schema, catalog_frames, consistency
@@ -408,3 +410,15 @@ def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.dayofmonth("ts").cast("long").alias("epoch"))
     return drop_late(e, 20)[1].groupBy("epoch").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT d0 - 3 AS d0, d1 - 20 AS d1, value FROM {_GRID} WHERE d0 BETWEEN 3 AND 12 AND d1 BETWEEN 20 AND 59")
+def chunk_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of the chunked form."""
+    chunks = to_chunks(orders_grid(spark, sf_dir), [_rows(spark, sf_dir), 100], [8, 25])
+    return chunk_select(chunks, [3, 20], [10, 40])
+
+
+@query("SELECT o_orderkey // 250 AS d0, o_orderkey % 250 AS d1, o_totalprice AS value FROM orders")
+def reshape_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape(orders_grid(spark, sf_dir), [0, 100], [0, 250])
