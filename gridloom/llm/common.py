@@ -36,9 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as a table in the shared folder: lineage ends there, and a lost executor costs nothing.
+
+    Parquet is compressed and read by column, which checkpoint files are not.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is settled now
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a settled table that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(df._settled_at)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -72,7 +87,7 @@ def lower_ascii(text: Column) -> Column:
 def range_rank(df: DataFrame, *order: Column, name: str) -> DataFrame:
     """``df`` with its 0-based global rank, by a range sort and one offset per partition; no single-task sort."""
     pos = F.col("_mid")
-    placed = settled(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    placed = settled(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))  # places are fixed from here on
     per = placed.groupBy(F.shiftright(pos, 33).alias("_pid")).agg(F.count("*").alias("_n"))
     # One row for each partition of the sort: bounded by the number of partitions, whatever the input.
     before = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)

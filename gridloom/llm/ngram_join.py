@@ -1,20 +1,21 @@
 """Operator 9, n-gram Jaccard join: grouped prefix join over word shingles, and the components of its links.
 
-1. Equal shingle sets are one item: each has a 128-bit id, so that copies, however many, cost one row each.
+1. Equal shingle sets are one item, named by a 64-bit hash, so that copies, however many, cost one row of three numbers each.
 2. Shingles are ordered by document frequency, rarest first; frequencies come from a sketch of fixed size that counts
    all documents. Any fixed order gives right results; this one keeps what many documents share out of the prefixes.
-3. Two sets of n and m shingles can only be similar enough if their prefixes, of ``n - ceil(t n) + 1`` shingles, meet.
-   Items with the same prefix and size are one group; groups meet under each prefix shingle, and pairs
-   that fail the filters on size and on position are left out.
+3. Two sets of n and m shingles that are similar enough share ``k`` of their prefixes, of ``n - ceil(t n) + k`` shingles.
+   Items with the same prefix and size are one group. Groups meet under each shingle of their prefixes; pairs that share
+   fewer, or fail the filters on size and on first shared place, are left out.
 4. What is left is expanded to members and verified on the full sets.
 
-A shingle under which very many groups meet would give all their pairs. Components need fewer: first each
-group is held against one leader under each shingle, which joins most of what belongs together; only pairs between
-groups that are still in different components are then expanded, after further leader rounds while they are
-too many. No link between components is lost, since every pair left is verified.
+A shingle under which very many groups meet would give all their pairs. Components need fewer: first every
+group is held against one leader under each shingle, which joins most of what belongs together. Only pairs of
+groups that are still in different components are then formed, after further leader rounds while they would be
+too many. No link between components is lost, for every pair left is verified.
 
-Full sets are computed again for the candidates alone, found by a Bloom filter of fixed size, and never stored
-for all. Hot shingles and leaders are handled by partial aggregation and by plain equi-joins that Spark splits at run time.
+Full sets are computed again for the candidates alone and never stored for all. Their ids are broadcast up to a
+stated count; beyond it a Bloom filter of fixed size thins the documents, and a plain join does the rest. Hot shingles and
+leaders are handled by partial aggregation and by plain equi-joins that Spark splits at run time.
 
 Defined cases: a text with fewer words than a shingle has is one shingle as a whole; a null or empty text has none and
 links with nothing; a null id links with nothing and has a null component; rows that repeat an id are rows of their
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.llm.common import settled
+from gridloom.llm.common import discard, settled
 from gridloom.llm.graph import components
 
 
@@ -46,9 +47,13 @@ class Settings:
     #: Counters of the frequency sketch and bits of the Bloom filter, as powers of two.
     counter_bits: int = 20
     bloom_bits: int = 24
+    #: Shingles that the prefixes of a pair must share.
+    shared: int = 6
     #: Further leader rounds are made while more pairs are left than this many times the groups, up to so many rounds.
-    pairs_per_group: int = 8
-    leader_rounds: int = 4
+    pairs_per_group: int = 64
+    leader_rounds: int = 2
+    #: Candidates' ids, 16 bytes each, are broadcast up to this many.
+    broadcast_ids: int = 500_000
 
 
 _BLOCK = 1 << 14  # counters in a row
@@ -72,7 +77,7 @@ def shingles(text: str | None, k: int = 3) -> np.ndarray:
 
 
 def prefix_length(n: int, s: Settings) -> int:
-    return n - -(-s.num * n // s.den) + 1
+    return min(n, n - -(-s.num * n // s.den) + s.shared)
 
 
 def frequencies(docs: DataFrame, s: Settings) -> np.ndarray:
@@ -116,32 +121,34 @@ def frequencies(docs: DataFrame, s: Settings) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n, sid (the set's id) and prefix of every document."""
+    """doc_id, n, sid (the set's name), gkey (its prefix's and size's) and prefix of every document."""
     counts = frequencies(docs, s)
-    # Frequencies matter by their magnitude: an eighth of an octave to a step.
+    # Frequencies matter by their magnitude: an eighth of an octave to a step. A table of 2 ** counter_bits small numbers.
     steps = docs.sparkSession.sparkContext.broadcast(np.round(8 * np.log2(np.maximum(counts, 1))).astype(np.uint16))
     shift = np.uint64(64 - s.counter_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = steps.value
         for b in batches:
-            ns, sids, firsts = [], [], []
+            ns, sids, keys, firsts = [], [], [], []
             for t in b.column(1):
                 x = shingles(t.as_py(), s.words)
-                ns.append(len(x))
-                sids.append(xxhash.xxh3_128_digest(x.tobytes()))
-                p = prefix_length(len(x), s) if len(x) else 0
                 rank = step[(x >> shift).astype(np.int64)]
-                firsts.append(x[np.lexsort((x, rank))[:p]].astype(np.int64))
+                first = x[np.lexsort((x, rank))[: prefix_length(len(x), s)]]
+                ns.append(len(x))
+                sids.append(xxhash.xxh3_64_intdigest(x.tobytes()))
+                keys.append(xxhash.xxh3_64_intdigest(first.tobytes(), len(x)))
+                firsts.append(first.astype(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.binary()), lists], ["doc_id", "n", "sid", "prefix"])
+            names = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sids, keys)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), *names, lists], ["doc_id", "n", "sid", "gkey", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, sid binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, sid long, gkey long, prefix array<long>")
 
 
 def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of ``2 ** bits`` bits over the long column ``key``, two bits a key; ``2 ** bits / 64`` numbers reach the driver."""
-    at = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(j), "key"), F.lit(1 << bits)) for j in (1, 2)])).alias("at"))
+    """A Bloom filter of ``2 ** bits`` bits over the column ``doc_id``, two bits a key; ``2 ** bits / 64`` numbers reach the driver."""
+    at = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(j), "doc_id"), F.lit(1 << bits)) for j in (1, 2)])).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("mask")).toPandas()
     out = np.zeros((1 << bits) // 64, np.uint64)
     out[words.word.to_numpy()] = words["mask"].to_numpy().view(np.uint64)
@@ -149,130 +156,125 @@ def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """(sid, shingles) of the wanted (sid, doc_id): full sets, computed again where the filter lets an id pass."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select(F.col("doc_id").alias("key")), s.bloom_bits))
-    hashed = docs.select(*[F.pmod(F.xxhash64(F.lit(j), "doc_id"), F.lit(1 << s.bloom_bits)).alias(f"at{j}") for j in (1, 2)], "text")
+    """(sid, shingles) of the wanted (sid, doc_id): full sets, computed again from the documents that hold them."""
+    if wanted.count() <= s.broadcast_ids:
+        near = docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+        bloom = None
+    else:
+        near = docs.select("doc_id", "text")
+        bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, s.bloom_bits))
+    hashed = near.select("text", *[F.pmod(F.xxhash64(F.lit(j), "doc_id"), F.lit(1 << s.bloom_bits)).alias(f"at{j}") for j in (1, 2)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
         for b in batches:
             ok = np.ones(b.num_rows, bool)
-            for j in range(2):
+            for j in (1, 2) if bloom is not None else ():
                 at = b.column(j).to_numpy()
-                ok &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            sids, sets = [], []
-            for i in np.flatnonzero(ok):
-                x = shingles(b.column(2)[i].as_py(), s.words)
-                sids.append(xxhash.xxh3_128_digest(x.tobytes()))
-                sets.append(x.astype("<u8").tobytes())
-                if len(sids) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(sets, pa.binary())], ["sid", "shingles"])
-                    sids, sets = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(sets, pa.binary())], ["sid", "shingles"])
-
-    found = hashed.mapInArrow(run, "sid binary, shingles binary")
+                ok &= (bloom.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            found = np.flatnonzero(ok)
+            for k in range(0, len(found), 256):
+                sets = [shingles(b.column(0)[int(i)].as_py(), s.words) for i in found[k : k + 256]]
+                sids = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["sid", "shingles"])
+
+    found = hashed.mapInArrow(run, "sid long, shingles binary")
     return settled(found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (u, v) of items whose sets link, with the size of what both hold and of the larger set."""
+def _verify(docs: DataFrame, items: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """Those of the pairs (u, v) of items whose full sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            us, vs, both = [], [], []
-            for u, v, x, y in zip(*b.columns, strict=True):
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                if s.den * common >= s.num * (len(x) + len(y) - common):
-                    us.append(u.as_py())
-                    vs.append(v.as_py())
-                    both.append(common / (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary()), pa.array(both, pa.float64())], ["u", "v", "similarity"])
+                keep.append(s.den * common >= s.num * (len(x) + len(y) - common))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = settled(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    sets = _sets(docs, settled(items.join(ends, "sid").select("sid", "doc_id")), s)
     a = sets.select(F.col("sid").alias("u"), F.col("shingles").alias("x"))
     b = sets.select(F.col("sid").alias("v"), F.col("shingles").alias("y"))
-    return settled(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary, similarity double"))
+    links = settled(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long"))
+    discard(sets)
+    return links
 
 
-def _near(n: Column, m: Column, i: Column, j: Column, s: Settings) -> Column:
-    """Filters on sizes and on the first shared place: what follows it must leave room for enough in common."""
-    least, most = F.least(n, m), F.greatest(n, m)
-    size = s.den * least >= s.num * most
-    need = F.ceil((s.num * (n + m)).cast("double") / float(s.num + s.den) - 1e-9)
-    return size & (1 + F.least(n - i, m - j) - 1 >= need)
+def _sizes_near(n: Column, m: Column, s: Settings) -> Column:
+    return s.den * F.least(n, m) >= s.num * F.greatest(n, m)
 
 
-def _other_way(u: Column, v: Column) -> tuple[Column, Column]:
-    return F.least(u, v).alias("u"), F.greatest(u, v).alias("v")
+def _places_near(n: Column, m: Column, i: Column, j: Column, count: Column, s: Settings) -> Column:
+    """Whether sets that first meet at places i and j, and share ``count`` prefix shingles, can have enough in common."""
+    need = F.ceil((s.num * (n + m)).cast("double") / float(s.num + s.den) - 1e-9)
+    return (F.least(n - i, m - j) >= need) & (count >= F.least(F.lit(s.shared), need))
 
 
-def item_links(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
-    """Verified links (u, v) between items (sid, n, prefix, doc_id), enough of them to span every component."""
-    groups = items.groupBy(F.xxhash64("prefix", "n").alias("k"), F.xxhash64(F.lit(7), "n", "prefix").alias("l"))
-    # A group is named by its least item. Members keep the group's name; the prefix travels once a group.
-    named = groups.agg(F.min("sid").alias("gid"), F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.count("*").alias("size"))
-    named = settled(named)
-    keyed = items.select("sid", "doc_id", F.xxhash64("prefix", "n").alias("k"), F.xxhash64(F.lit(7), "n", "prefix").alias("l"))
-    members = settled(keyed.join(named.select("k", "l", "gid"), ["k", "l"]).select("gid", "sid", "doc_id"))
-    tokens = named.select("gid", "n", F.posexplode("prefix").alias("i", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+def item_links(docs: DataFrame, rows: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+    """Verified links (u, v) between items (sid, doc_id, n, gkey), enough of them to span every component."""
+    # A group is named by its least item.
+    named = items.groupBy("gkey", "n").agg(F.min("sid").alias("gid"))
+    members = settled(items.join(named, ["gkey", "n"]).select("gid", "sid", "doc_id", "n"))
+    heads = members.filter("sid = gid").select("gid", F.col("doc_id").alias("_doc"))
+    holders = rows.join(heads, (F.col("sid") == F.col("gid")) & (F.col("doc_id") == F.col("_doc"))).select("gid", "n", "prefix").dropDuplicates(["gid"])
+    tokens = settled(holders.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token")))
     # Under a shingle that one group alone has in its prefix, nothing meets.
-    met = settled(tokens.join(shared, "token", "left_semi"))
-    inner = members.filter(F.col("sid") != F.col("gid"))
-    wanted = met.select("gid").distinct().join(members, "gid").select("sid", "doc_id").unionByName(
-        inner.select("gid").distinct().join(members, "gid").select("sid", "doc_id")
-    ).distinct()
-    sets = _sets(docs, wanted, s)
-
-    def star(leader: Column, of: DataFrame) -> DataFrame:
-        """Every group under a shingle, expanded, against the first member of the leading group there."""
-        lead = of.groupBy("token").agg(F.min_by(F.struct("gid", "n", "i"), leader).alias("lead"))
-        met_lead = of.join(lead, "token").filter((F.col("gid") != F.col("lead.gid")) & _near(F.col("n"), F.col("lead.n"), F.col("i"), F.col("lead.i"), s))
-        pairs = met_lead.select(F.col("lead.gid").alias("u"), "gid").distinct()
-        return pairs.join(members.select("gid", F.col("sid").alias("v")), "gid").select(*_other_way(F.col("u"), F.col("v"))).distinct()
-
-    within = inner.select(F.col("gid").alias("u"), F.col("sid").alias("v"))
-    links = _verify(star(F.col("gid"), met).unionByName(within).distinct(), sets, s)
-    n_groups = named.count()
+    heads_of = tokens.groupBy("token").agg(F.min("gid").alias("lead"), F.count("*").alias("c")).filter("c > 1")
+    met = settled(tokens.join(heads_of.drop("c"), "token"))
+    n_groups = heads.count()
+    discard(tokens)
+
+    def star(of: DataFrame) -> DataFrame:
+        """Groups against the leaders that they meet under several shingles, expanded to members against the leader's first."""
+        pairs = of.filter("gid <> lead").groupBy("lead", "gid").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        sizes = members.filter("sid = gid").select(F.col("gid").alias("lead"), F.col("n").alias("m"))
+        near = pairs.filter(F.col("c") >= F.least(F.lit(s.shared), F.col("n"))).join(sizes, "lead").filter(_sizes_near(F.col("n"), F.col("m"), s))
+        return near.select(F.col("lead").alias("u"), "gid").join(members.select("gid", F.col("sid").alias("v")), "gid").select("u", "v")
+
+    links = _verify(docs, items, star(met).unionByName(members.select(F.col("gid").alias("u"), F.col("sid").alias("v"))), s)
+    left = met
     for turn in range(s.leader_rounds + 1):
-        label = components(links.select("u", "v"))
-        told = members.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("label", "sid").alias("label"))
-        told = settled(told)
+        label = components(links, most_rounds=1)  # what is not joined yet only leaves more pairs to verify
+        told = settled(members.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("label", "sid").alias("label")))
+        discard(label)
         span = told.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        # Groups under a shingle that are not yet in one component.
-        spanned = met.join(span, "gid")
-        open_tokens = spanned.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("c")).filter("lo <> hi")
-        left = settled(spanned.join(open_tokens.select("token", "c"), "token"))
-        many = left.groupBy("token").agg(F.max("c").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+        # Shingles whose groups are not yet all in one component.
+        spanned = left.select("token", "gid", "n", "i").join(span, "gid")
+        still = spanned.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count("*").alias("c"), F.min(F.xxhash64(F.lit(turn), "gid", "token")).alias("_least"))
+        still = still.filter("_lo <> _hi").select("token", "c", "_least")
+        left = settled(spanned.join(still, "token"))
+        many = left.agg(F.sum((F.col("c") - 1) / 2)).first()[0] or 0
         if turn == s.leader_rounds or many <= s.pairs_per_group * max(n_groups, 1000):
             break
         # Another leader each time: by a hash that changes with the round.
-        more = _verify(star(F.xxhash64(F.lit(turn), "gid", "token"), left.select("token", "gid", "n", "i")), sets, s)
-        links = links.unionByName(more)
+        lead = left.filter(F.xxhash64(F.lit(turn), "gid", "token") == F.col("_least")).select("token", F.col("gid").alias("lead"))
+        links = settled(links.unionByName(_verify(docs, items, star(left.join(lead, "token")), s)))
     a = left.select("token", F.col("gid").alias("g"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     b = left.select("token", F.col("gid").alias("h"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    apart = ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))
-    rest = a.join(b, "token").filter((F.col("g") < F.col("h")) & apart & _near(F.col("n1"), F.col("n2"), F.col("i1"), F.col("i2"), s)).select("g", "h").distinct()
+    apart = (F.col("lo1") != F.col("hi1")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo1") != F.col("lo2"))
+    under = a.join(b, "token").filter((F.col("g") < F.col("h")) & apart & _sizes_near(F.col("n1"), F.col("n2"), s))
+    per = under.groupBy("g", "h").agg(F.count("*").alias("c"), F.min("i1").alias("i1"), F.min("i2").alias("i2"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    rest = per.filter(_places_near(F.col("n1"), F.col("n2"), F.col("i1"), F.col("i2"), F.col("c"), s)).select("g", "h")
     # Members of one group that its first member did not reach are held against each other in the same way.
     split = told.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     rest = rest.unionByName(split.select(F.col("gid").alias("g"), F.col("gid").alias("h")))
-    one = told.select(F.col("gid").alias("g"), F.col("sid").alias("u0"), F.col("label").alias("l1"))
-    two = told.select(F.col("gid").alias("h"), F.col("sid").alias("v0"), F.col("label").alias("l2"))
-    pairs = rest.join(one, "g").join(two, "h").filter((F.col("l1") != F.col("l2")) & (F.col("u0") != F.col("v0")))
-    final = _verify(pairs.select(*_other_way(F.col("u0"), F.col("v0"))).distinct(), sets, s)
-    return links.select("u", "v").unionByName(final.select("u", "v"))
+    one = told.select(F.col("gid").alias("g"), F.col("sid").alias("u"), F.col("label").alias("l1"))
+    two = told.select(F.col("gid").alias("h"), F.col("sid").alias("v"), F.col("label").alias("l2"))
+    pairs = rest.join(one, "g").join(two, "h").filter("l1 <> l2").select("u", "v")
+    return links.unionByName(_verify(docs, items, pairs, s))
 
 
 def linked(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles and component_id, the least id that links reach, of every document."""
     rows = settled(prefixes(docs, s))
     full = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    items = full.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    items = settled(items)
-    label = components(item_links(docs, items, s))
+    items = settled(full.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("gkey").alias("gkey")))
+    label = components(item_links(docs, full, items, s))
     # The least id of each component, from the items' least ids; then every row by its item.
-    own = items.select("sid", "doc_id").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    own = settled(own)
+    own = settled(items.select("sid", "doc_id").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = own.join(least, "label").select(F.col("sid").alias("_sid"), "component_id")
     keyed = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sid")).alias("_key"))
