@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A space that the next character does not make the start of a word.
-_IRREGULAR = re.compile(r" (?=\s|\Z)")
+#: Words with the space before them, and line ends. They make up a text unless it has other white space, or runs of it.
+_PARTS = re.compile(r" ?\S+|\n")
 _STARTS = re.compile(r"(?= \S)")
-#: Words kept with their ids in each Python worker, and the longest that are.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Parts of words kept with their ids in each Python worker, over all its tasks, and the longest that are.
+CACHE_WORDS, CACHE_CHARS = 800_000, 48
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -116,12 +117,22 @@ def level(windows: list[list[Piece]], capacity: int) -> list[list[Piece]]:
     return windows
 
 
+_encoders: dict[str, Callable[[str], bytes]] = {}
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids, as little-endian unsigned 32-bit integers.
+    """A function from a text to its ids, as little-endian unsigned 32-bit integers; one for each vocabulary and process.
 
-    Byte-level BPE never merges over the start of a word with its leading space, so words can be encoded one by one and
-    kept; texts with other white space after a space are cut only where a space precedes a word.
+    Byte-level BPE never merges over the start of a word with its leading space, over a line end between words, or over the place where
+    letters or digits give way to punctuation. So such parts can be encoded one by one and kept;
+    texts with other white space are cut only where a space precedes a word.
     """
+    if path not in _encoders:
+        _encoders[path] = _new_encoder(path)
+    return _encoders[path]
+
+
+def _new_encoder(path: str) -> Callable[[str], bytes]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -129,28 +140,37 @@ def encoder(path: str) -> Callable[[str], bytes]:
     tokenizer.encode_special_tokens = True  # their strings within a text are ordinary text
     known: dict[str, bytes] = {}
 
-    def learn(parts: list[str]) -> None:
-        new = [p for p in set(parts) if p not in known]
-        for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+    def learn(missing: set[str]) -> None:
+        """Word and punctuation after it are encoded apart, for the same words recur with other marks."""
+        halves, new = {}, set()
+        for p in missing:
+            stem = p.rstrip(string.punctuation)
+            if len(stem) != len(p) and stem[-1:].isalnum():
+                halves[p] = stem, p[len(stem) :]
+                new.update(h for h in halves[p] if h not in known)
+            else:
+                new.add(p)
+        listed = list(new)
+        for p, e in zip(listed, tokenizer.encode_batch_fast(listed, add_special_tokens=False), strict=True):
             known[p] = array("I", e.ids).tobytes()
+        for p, (stem, tail) in halves.items():
+            known[p] = known[stem] + known[tail]
 
     def encode(text: str) -> bytes:
-        if _IRREGULAR.search(text):
+        parts = _PARTS.findall(text)
+        if "\n\n" in text or len("".join(parts)) != len(text):
             parts = _STARTS.split(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + p for p in rest]]
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
+        ids = list(map(known.get, parts))
+        if None in ids:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            learn(parts)
-            out = b"".join(map(known.__getitem__, parts))
+                ids = [None] * len(parts)
+            learn({p for p, x in zip(parts, ids, strict=True) if x is None})
+            ids = list(map(known.__getitem__, parts))
             for p in parts:
                 if len(p) > CACHE_CHARS:
                     known.pop(p, None)
-            return out
+        return b"".join(ids)
 
     return encode
 
