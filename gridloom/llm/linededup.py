@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACES, let, lower_ascii
+from gridloom.llm.common import SPACES, let, lower_ascii, settled
 
 
 def line_key(line: Column) -> Column:
@@ -46,6 +46,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     """``docs`` with ``text`` reduced to its kept lines, and ``n_lines`` and ``n_dropped`` in the column ``_dedup``."""
     base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
     held, frequent = frequent_lines(base.select("_id", "_text"), min_chars, min_docs)
+    # As a table of its own it is broadcast if Spark finds it small; else both sides are shuffled by key alone, and hot keys split.
+    frequent = settled(frequent)
     # Null ids are never the keeper: null-safe inequality drops their lines too.
     gone = held.join(frequent, ["a", "b"]).filter(~F.col("_id").eqNullSafe(F.col("keeper")))
     per_doc = gone.groupBy("_id").agg(F.collect_set(F.struct("a", "b")).alias("_gone")).withColumnRenamed("_id", "_gid")
