@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 #: Words with the space before them, and line ends. They make up a text unless it has other white space, or runs of it.
 _PARTS = re.compile(r" ?\S+|\n")
 _STARTS = re.compile(r"(?= \S)")
-#: Parts of words kept with their ids in each Python worker, over all its tasks, and the longest that are.
-CACHE_WORDS, CACHE_CHARS = 800_000, 48
+#: Parts of words kept with their ids in each generation of a Python worker's cache, which outlives tasks, and the longest that are.
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -139,18 +139,28 @@ def _new_encoder(path: str) -> Callable[[str], bytes]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings within a text are ordinary text
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}  # the last generation: what recurs moves on from it, the rest is let go
 
     def learn(missing: set[str]) -> None:
         """Word and punctuation after it are encoded apart, for the same words recur with other marks."""
         halves, new = {}, set()
         for p in missing:
+            if p in before:
+                known[p] = before[p]
+                continue
             stem = p.rstrip(string.punctuation)
             if len(stem) != len(p) and stem[-1:].isalnum():
                 halves[p] = stem, p[len(stem) :]
-                new.update(h for h in halves[p] if h not in known)
+                for h in halves[p]:
+                    if h in before:
+                        known[h] = before[h]
+                    elif h not in known:
+                        new.add(h)
             else:
                 new.add(p)
         listed = list(new)
+        if not listed and not halves:
+            return
         for p, e in zip(listed, tokenizer.encode_batch_fast(listed, add_special_tokens=False), strict=True):
             known[p] = array("I", e.ids).tobytes()
         for p, (stem, tail) in halves.items():
@@ -163,6 +173,8 @@ def _new_encoder(path: str) -> Callable[[str], bytes]:
         ids = list(map(known.get, parts))
         if None in ids:
             if len(known) > CACHE_WORDS:
+                before.clear()
+                before.update(known)
                 known.clear()
                 ids = [None] * len(parts)
             learn({p for p, x in zip(parts, ids, strict=True) if x is None})
@@ -261,8 +273,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _FIELDS)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                packer.add(doc_id.as_py(), np.frombuffer(encode(text.as_py() or "") + end, "<u4"))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                packer.add(doc_id, np.frombuffer(encode(text.as_py() or "") + end, "<u4"))
                 if len(packer.rows) > 20_000:
                     yield out()
         packer.finish()
