@@ -10,6 +10,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import near_duplicates
 from gridloom.llm import fingerprint as fp
 from gridloom.llm import ngram_join as nj
 from gridloom.llm import packing as pk
@@ -284,6 +285,39 @@ def test_ngram_join_small_cases(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "9", "None"] and kept.columns == lost.columns
 
 
+def components_by_sets(texts, words, num, den):
+    """The least row of each row's component, from every pair of shingle sets."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    least = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if den * both >= num * (len(a) + len(sets[j]) - both):
+                u, v = sorted((least[i], least[j]))
+                least = [u if x == v else x for x in least]
+    return least
+
+
+def test_near_duplicates_stage(spark):
+    rnd = random.Random(5)
+    texts = []
+    for changes in (1, 2, 3, 4, 4, 5, 6, 8):
+        seed = [f"w{rnd.randrange(9999)}" for _ in range(200)]
+        t = list(seed)
+        for k in range(changes):
+            t[10 + k * (180 // changes)] = f"new{k}"
+        texts += [" ".join(seed), " ".join(t)]
+    short = [f"s{rnd.randrange(9999)}" for _ in range(9)]  # sets of 5 and 4 shingles, just at the threshold
+    texts += [" ".join(short), " ".join(short[:-1]), "a b c", "a b c", "a b d"]
+    at_stage, at_query = components_by_sets(texts, 5, 80, 100), components_by_sets(texts, 3, 90, 100)
+    assert len(set(at_stage)) < len(set(at_query))  # some pairs lie between the two thresholds
+    kept = sorted(r.doc_id for r in near_duplicates(spark, docs(spark, texts), "").collect())
+    assert kept == sorted(set(at_stage))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
