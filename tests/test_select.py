@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import fill as L
 from gridloom.operators import select as S
 from gridloom.plans.errors import ArrayError
+from gridloom.queries import QUERIES
 
 SHAPE = (6, 7)
 
@@ -106,3 +107,17 @@ def test_predicates_reach_the_scan(spark, tmp_path, v):
     v.write.parquet(str(tmp_path / "v"))
     plan = S.vara(spark.read.parquet(str(tmp_path / "v")), [1, 2], [3, 4])._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(d0,1)" in plan
+
+
+def orders(spark, tmp_path, n=1530):
+    """A folder with a table of orders: a grid of 100 columns whose last row is not full."""
+    spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") * 1.5).alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    return str(tmp_path)
+
+
+def test_put_returns_the_whole_grid(spark, tmp_path):
+    want = {(k // 100, k % 100): k * 1.5 for k in range(1530)}
+    want |= {(i, j): -2.0 for i in (0, 1) for j in range(5, 20)}
+    want |= {(i, j): -1.0 for i in (1, 2) for j in range(10)}
+    got = QUERIES["put_boxes"](spark, orders(spark, tmp_path)).collect()
+    assert len(got) == len(want) and {(r.d0, r.d1): r.value for r in got} == want
