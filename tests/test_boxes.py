@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from gridloom.operators import boxes as B
+from gridloom.queries import QUERIES
 
 
 def frame(spark, boxes):
@@ -86,3 +87,9 @@ def test_interleaved_groups(spark):
     spans = spark.createDataFrame([(1, 0, 10), (2, 5, 8), (3, 10, 12), (4, 20, 30)], "id long, first long, end long")
     groups = {r.id: r.grp for r in B.interleave_groups(spans).collect()}
     assert groups[1] == groups[2] and len(set(groups.values())) == 3
+
+
+def test_every_point_of_the_grid_is_looked_up(spark, tmp_path):
+    spark.range(1530).selectExpr("id AS o_orderkey", "id * 1.5 AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r.point_id, r.box_id) for r in QUERIES["point_stab"](spark, str(tmp_path)).collect())
+    assert got == [(k, k // 100 // 7 * 10 + k % 100 // 11) for k in range(1530)]  # tiles of 7 x 11, ten across
