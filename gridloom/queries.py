@@ -76,8 +76,9 @@ def sel_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT d0, d1, d1 * 500 + d0 AS m, value FROM {_EMB} WHERE d0 < 500")
 def sel_varm_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written in the order of axes 1, 0: the index map of a transposed buffer."""
-    return S.varm(embeddings(spark, sf_dir), [0, 0], [500, 64], None, [1, 500])
+    """Written in the order of axes 1, 0: the index map of the whole transposed buffer."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return S.varm(embeddings(spark, sf_dir), [0, 0], [n, 64], None, [1, n])
 
 
 @query(f"SELECT d1 AS d0, d0 AS d1, value FROM {_EMB}")
@@ -103,7 +104,8 @@ def sel_varn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT d0, d1, d0 * 100 + d1 AS place, value FROM {_GRID} WHERE (d0 * 100 + d1) % 7 = 0 AND d0 * 100 + d1 < 1400")
 def sel_vard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = spark.range(200).select((F.col("id") * 7).alias("place"))
+    """Every seventh place, to the grid's end."""
+    places = spark.range(0, _rows(spark, sf_dir) * 100, 7).select(F.col("id").alias("place"))
     return S.vard(orders_grid(spark, sf_dir), [0, 100], places)
 
 

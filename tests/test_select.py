@@ -121,3 +121,14 @@ def test_put_returns_the_whole_grid(spark, tmp_path):
     want |= {(i, j): -1.0 for i in (1, 2) for j in range(10)}
     got = QUERIES["put_boxes"](spark, orders(spark, tmp_path)).collect()
     assert len(got) == len(want) and {(r.d0, r.d1): r.value for r in got} == want
+
+
+def test_index_map_of_the_whole_buffer(spark, tmp_path):
+    spark.range(530).selectExpr("id AS vec_id", "transform(sequence(0, 63), k -> CAST(id * 64 + k AS FLOAT)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, QUERIES["sel_varm_transpose"](spark, str(tmp_path)).select("m", "d0", "d1", "value").collect()))
+    assert got == [(m, m % 530, m // 530, float(m % 530 * 64 + m // 530)) for m in range(530 * 64)]
+
+
+def test_places_run_to_the_end_of_the_grid(spark, tmp_path):
+    got = QUERIES["sel_vard"](spark, orders(spark, tmp_path)).collect()
+    assert sorted((r.place, r.d0, r.d1, r.value) for r in got) == [(k, k // 100, k % 100, k * 1.5) for k in range(0, 1530, 7)]
