@@ -120,8 +120,8 @@ def frequencies(docs: DataFrame, s: Settings) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n, sid (the set's name), gkey (its prefix's and size's) and prefix of every document."""
+def prefixes(docs: DataFrame, s: Settings, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, sid (the set's name), gkey (its prefix's and size's) and prefix of every document, then the long columns ``carried``."""
     counts = frequencies(docs, s)
     # Frequencies matter by their magnitude: an eighth of an octave to a step. A table of 2 ** counter_bits small numbers.
     steps = docs.sparkSession.sparkContext.broadcast(np.round(8 * np.log2(np.maximum(counts, 1))).astype(np.uint16))
@@ -141,9 +141,10 @@ def prefixes(docs: DataFrame, s: Settings) -> DataFrame:
                 firsts.append(first.astype(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
             names = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sids, keys)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), *names, lists], ["doc_id", "n", "sid", "gkey", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), *names, lists, *b.columns[2:]], ["doc_id", "n", "sid", "gkey", "prefix", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, sid long, gkey long, prefix array<long>")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n long, sid long, gkey long, prefix array<long>" + "".join(f", {c} long" for c in carried)
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, schema)
 
 
 def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
@@ -267,14 +268,24 @@ def item_links(docs: DataFrame, rows: DataFrame, items: DataFrame, s: Settings)
     return links.unionByName(_verify(docs, items, pairs, s))
 
 
+def _full(rows: DataFrame) -> DataFrame:
+    """Those rows that can link with others."""
+    return rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+
+
+def _own(docs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """sid, least doc_id and component's label of every item."""
+    full = _full(rows)
+    items = settled(full.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("gkey").alias("gkey")))
+    label = components(item_links(docs, full, items, s))
+    return settled(items.select("sid", "doc_id").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+
+
 def linked(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles and component_id, the least id that links reach, of every document."""
     rows = settled(prefixes(docs, s))
-    full = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    items = settled(full.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("gkey").alias("gkey")))
-    label = components(item_links(docs, full, items, s))
     # The least id of each component, from the items' least ids; then every row by its item.
-    own = settled(items.select("sid", "doc_id").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    own = _own(docs, rows, s)
     least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = own.join(least, "label").select(F.col("sid").alias("_sid"), "component_id")
     keyed = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sid")).alias("_key"))
@@ -283,10 +294,21 @@ def linked(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; a repeated id stays once, a null id always."""
-    found = linked(docs.select("doc_id", "text"), s).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    """``docs`` with one row of each component, that of the least id and then the least hash of its text.
+
+    Rows that repeat an id are judged each by its own text. Texts without shingles stay, once for an id; rows with a null id stay always.
+    """
+    told = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    rows = settled(prefixes(told, s, ("hash",)))
+    own = _own(told, rows, s)
+    firsts = _full(rows).groupBy("sid").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    first = own.select("sid", "label").join(firsts, "sid").groupBy("label").agg(F.min("first").alias("first")).select("first.*")
+    bare = rows.filter((F.col("n") == 0) & F.col("doc_id").isNotNull()).select("doc_id", "hash").distinct()
+    found = first.unionByName(bare).select(F.col("doc_id").alias("_keep"), F.col("hash").alias("_kept_hash"))
     row = F.struct(*[docs[c] for c in docs.columns])
-    packed = docs.select(row.alias("_row"), F.col("doc_id").alias("_id"))
-    stay = packed.filter(F.col("_id").isNotNull()).join(found, F.col("_id") == F.col("_keep"))
-    once = stay.withColumn("_turn", F.row_number().over(W.partitionBy("_keep").orderBy(F.lit(1)))).filter("_turn = 1")
+    rest = F.xxhash64(F.lit(0), *[docs[c] for c, kind in docs.dtypes if c != "text" and "map<" not in kind and "variant" not in kind])
+    packed = docs.select(row.alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_hash"), rest.alias("_rest"))
+    stay = packed.filter(F.col("_id").isNotNull()).join(found, (F.col("_id") == F.col("_keep")) & (F.col("_hash") == F.col("_kept_hash")))
+    # Rows of one id and one text: any would do, and the other columns' hash makes it the same one in every run.
+    once = stay.withColumn("_turn", F.row_number().over(W.partitionBy("_keep", "_kept_hash").orderBy("_rest"))).filter("_turn = 1")
     return once.select("_row").unionByName(packed.filter(F.col("_id").isNull()).select("_row")).select("_row.*")

@@ -318,6 +318,16 @@ def test_near_duplicates_stage(spark):
     assert kept == sorted(set(at_stage))
 
 
+def test_repeated_ids_lose_no_text(spark):
+    rnd = random.Random(3)
+    a, b, c, d = (prose(rnd, 40) for _ in range(4))
+    rows = [(4, a), (9, a), (9, b), (9, b), (7, c), (7, d), (1, ""), (1, ""), (1, None), (2, ""), (None, a), (None, a)]
+    want = sorted([(4, a), (9, b), (7, c), (7, d), (1, ""), (1, None), (2, ""), (None, a), (None, a)], key=str)
+    for n in (1, 5):  # however the rows are spread
+        lost = docs(spark, [t for _, t in rows], [k for k, _ in rows]).repartition(n)
+        assert sorted(((r.doc_id, r.text) for r in nj.keep_one(lost).collect()), key=str) == want
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
