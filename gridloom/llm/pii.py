@@ -27,9 +27,12 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: A last word of a match that may be no part of the number: a currency, the word BIC, a BIC itself.
+IBAN_TAIL = r"\x20[A-Z0-9]*[A-Z][A-Z0-9]*$"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
-SECRET = r"(?i:token|secret|passwd|password|api[_-]?key)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_+/.-]{16,}"
+_SECRET_WORD = r"(?i:token|secret|passwd|password|api[_-]?key)"
+SECRET = _SECRET_WORD + r"[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_+/.-]{16,}"
 
 #: Kinds in their order within ``spans``.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone", "secret")
@@ -87,6 +90,14 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step) == 1
 
 
+def _without_tail(x: Column) -> Column:
+    """The span of an IBAN without those last words that the pattern took in and with which its check fails."""
+    shorter = lambda m, _: F.when(mod97(m), m).otherwise(F.regexp_replace(m, IBAN_TAIL, ""))
+    best = F.aggregate(F.sequence(F.lit(1), F.lit(8)), x["m"], shorter)  # a match has no more words than groups and a tail
+    near = lambda m: F.concat_ws(" ", x["near"], F.lower(F.substring(x["m"], F.length(m) + 1, F.length(x["m"]))))
+    return let(best, lambda m: F.struct(x["s"].alias("s"), (x["s"] + F.length(m)).alias("e"), m.alias("m"), near(m).alias("near")))
+
+
 def _part_ok(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), lambda p: p.rlike(r"^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
 
@@ -112,10 +123,10 @@ def findings(docs: DataFrame, min_score: float = 0.6, keep_text: bool = False) -
             "ip": only(digit, F.filter(_matches(text, IP), lambda x: _part_ok(x["m"]))),
             "card": only(digit, F.filter(_matches(text, CARD), lambda x: _length(F.length(_digits(x["m"])), 13, 19) & luhn(_digits(x["m"])))),
             "phone": only(F.instr(text, "+") > 0, F.filter(_matches(text, PHONE), lambda x: _length(F.length(_digits(x["m"])), 9, 15))),
-            "iban": only(digit, scored("iban", F.filter(_matches(text, IBAN, True), lambda x: mod97(x["m"])))),
+            "iban": only(digit, scored("iban", F.filter(F.transform(_matches(text, IBAN, True), _without_tail), lambda x: mod97(x["m"]) & x["m"].rlike(f"^{IBAN}$")))),
             "ssn": only(digit, scored("ssn", F.filter(_matches(text, SSN, True), lambda x: ~x["m"].rlike("^(?:000|666|9)|-00-|-0000$")))),
             "local_phone": only(digit, scored("local_phone", _matches(text, LOCAL_PHONE, True))),
-            "secret": only(digit, scored("secret", _matches(text, SECRET, True))),
+            "secret": only(text.rlike(_SECRET_WORD), scored("secret", _matches(text, SECRET, True))),
         }
     )
     # A secret's span is its value, the end of the match; a national number within an international one is no find of its own.

@@ -128,6 +128,17 @@ def test_pii(spark):
     assert spark.createDataFrame([("DE89 3704 0044 0532 0130 00",)], "x string").select(mod97(F.col("x")).alias("ok")).first().ok
 
 
+def test_pii_without_digits_and_with_words_after(spark):
+    at, es = "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332"
+    texts = ["password = correcthorsebatterystaple", "Api_Key: " + "abcdefgh" * 2 + " end"]
+    texts += [f"to {n}{tail}" for n in (at, es) for tail in ("", " EUR", " BIC", " BANK", " COBADEFF", " BIC COBADEFFXXX", " EUR 12", " and more", ".")]
+    texts += ["to AT61 1904 3002 3457 3202 EUR", "to GB82 EUR BANK"]
+    got = {r.doc_id: r.spans for r in pii_report(docs(spark, texts)).collect()}
+    shown = [[texts[k][int(a) : int(b)] for x in got[k].split(",") if x for i, a, b in [x.split(":")] if i in ("iban", "secret")] for k in range(len(texts))]
+    assert shown == [["correcthorsebatterystaple"], ["abcdefghabcdefgh"], *[[at]] * 9, *[[es]] * 9, [], []]
+    assert redact(docs(spark, texts[3:4])).first().text == "to <iban> EUR"
+
+
 def brute_mix(texts, sources):
     size = [len(WORDS.findall(t or "")) for t in texts]
     names = sorted({s for s in sources if s is not None}) + ([None] if None in sources else [])
