@@ -8,7 +8,8 @@ each; names are new for each attempt, so a task that is run again leaves at wors
 
 The reader checks each member, version line, length and digest. When a check fails it looks for the next place where a
 member or a version line starts and passes its checks, goes on from there, and logs the bytes in between as a
-quarantined gap.
+quarantined gap. Within a member of several records it looks for version lines in the same way; of a damaged member it keeps the
+records with a digest that end before the last byte that the member still yields, so never its last one.
 
 Defined cases: null html is an empty payload; a null page id is kept, and is the first of its payload only if no id is
 given; rows that repeat the least id of a payload are responses all; a null url becomes an empty target; line ends
@@ -36,6 +37,7 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 
 
 def digest(data: bytes) -> str:
@@ -117,32 +119,63 @@ def _parse(data: bytes) -> tuple[Record, int]:
     return Record(headers, block), end + 4
 
 
-def _member(data: bytes, pos: int) -> tuple[bytes, int]:
-    """What the gzip member at ``pos`` holds, and where it ends."""
-    reader, parts, at = zlib.decompressobj(31), [], pos
-    try:
-        while not reader.eof and at < len(data):
-            parts.append(reader.decompress(data[at : at + (16 << 10)]))
-            at = min(at + (16 << 10), len(data))
-    except zlib.error as e:
-        raise ValueError(f"bad member: {e}") from None
+def _member(data: bytes, pos: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``pos`` holds, where it ends, and, if it is damaged, how; then the bytes are those before the damage."""
+    reader, parts, at, step = zlib.decompressobj(31), [], pos, 16 << 10
+    while not reader.eof and at < len(data):
+        try:
+            parts.append(reader.decompress(data[at : at + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(parts), at, f"bad member: {e}"
+            # Once more to the start of this piece, and then byte by byte up to the damage.
+            reader, step = zlib.decompressobj(31), 1
+            parts = [reader.decompress(data[pos:at])]
+            continue
+        at = min(at + step, len(data))
     if not reader.eof:
-        raise ValueError("member cut short")
-    return b"".join(parts), at - len(reader.unused_data)
+        return b"".join(parts), at, "member cut short"
+    return b"".join(parts), at - len(reader.unused_data), ""
+
+
+def _within(inner: bytes, damaged: bool) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """The records in a member's bytes that pass their checks, and the gaps between them."""
+    found, gaps, at, gap, why = [], [], 0, None, ""
+    while at < len(inner):
+        try:
+            record, n = _parse(inner[at:])
+            if damaged and (at + n == len(inner) or "warc-block-digest" not in record.headers):
+                raise ValueError("not sure in a damaged member")
+        except ValueError as e:
+            if gap is None:
+                gap, why = at, str(e)
+            m = _VERSION.search(inner, at + 1)
+            at = m.start() if m else len(inner)
+            continue
+        if gap is not None:
+            gaps.append((gap, at, why))
+            gap = None
+        found.append(record)
+        at += n
+    if gap is not None:
+        gaps.append((gap, len(inner), why))
+    return found, gaps
 
 
 def salvage(data: bytes) -> Archive:
-    """Every record of an archive that passes its checks, and the gaps between them."""
+    """Every record of an archive that passes its checks, and the gaps between them.
+
+    A gap within a member has the member's place, and its own place among the member's bytes in its reason.
+    """
     out, pos, gap, why = Archive(), 0, None, ""
     while pos < len(data):
+        found, gaps, damage = [], [], ""
         try:
             if data[pos : pos + 2] == b"\x1f\x8b":
-                inner, end = _member(data, pos)
-                found, at = [], 0
-                while at < len(inner):
-                    record, n = _parse(inner[at:])
-                    found.append(record)
-                    at += n
+                inner, end, damage = _member(data, pos)
+                found, gaps = _within(inner, bool(damage))
+                if not found and (damage or gaps):
+                    raise ValueError(damage or gaps[0][2])
             else:
                 record, n = _parse(data[pos:])
                 found, end = [record], pos + n
@@ -156,6 +189,12 @@ def salvage(data: bytes) -> Archive:
             out.gaps.append((gap, pos, why))
             gap = None
         out.records += found
+        if damage:  # where it ends is not known
+            gap, why = pos, damage + "".join(f"; lost of its bytes: {a} to {b}" for a, b, _ in gaps)
+            m = _START.search(data, pos + 1)
+            pos = m.start() if m else len(data)
+            continue
+        out.gaps += [(pos, end, f"bytes {a} to {b} of the member: {x}") for a, b, x in gaps]
         pos = end
     if gap is not None:
         out.gaps.append((gap, len(data), why))

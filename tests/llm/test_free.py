@@ -219,6 +219,32 @@ def test_salvage(spark):
     assert ids(warc.salvage(bad + records[4])) == [4] and warc.salvage(b"").records == []
 
 
+def test_salvage_within_members_of_several_records():
+    rnd = random.Random(4)
+    plain = []
+    for k in range(8):
+        body = rnd.randbytes(20_000)
+        plain.append(zlib.decompress(warc.encode(k, "u", body, warc.digest(body), k, False, "2024-01-01T00:00:00Z"), 31))
+
+    def member(parts):
+        packer = zlib.compressobj(wbits=31)
+        return packer.compress(b"".join(parts)) + packer.flush()
+
+    ids = lambda a: [int(r.headers["x-page-id"]) for r in a.records]
+    whole = member(plain)
+    assert ids(warc.salvage(whole)) == list(range(8)) and not warc.salvage(whole).gaps
+    bad = plain[3][:-100] + b"?" * 96 + plain[3][-4:]
+    some = member([*plain[:3], bad, *plain[4:6]])
+    out = warc.salvage(some + member(plain[6:]))
+    start = sum(map(len, plain[:3]))
+    assert ids(out) == [0, 1, 2, 4, 5, 6, 7]
+    assert [g[:2] for g in out.gaps] == [(0, len(some))] and f"bytes {start} to {start + len(bad)} of the member" in out.gaps[0][2]
+    cut = whole[: len(whole) * 5 // 8 - 2000]
+    assert ids(warc.salvage(cut)) == [0, 1, 2, 3] and warc.salvage(cut).gaps[0][:2] == (0, len(cut))
+    out = warc.salvage(cut + member(plain[6:]))  # the damage is in the middle of the archive
+    assert ids(out)[:4] == [0, 1, 2, 3] and ids(out)[-2:] == [6, 7] and out.gaps[0][:2] == (0, len(cut))
+
+
 def test_damaged_archives_are_read_around(spark):
     pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>" * 40) for k in range(8)], "page_id long, url string, html string").coalesce(1)
     manifest = warc.write_archives(pages)
