@@ -4,7 +4,7 @@ A page is read into a tree. Subtrees that are never main text (scripts, forms, m
 elements whose class or id says advert, sidebar, notice, comments and the like) are left out. Each paragraph then gives points for its
 length and its commas to its parent in full and to its grandparent by half; a container's points are
 discounted by its link density and start with a bonus for ``article`` and ``main``. The best container is kept, with
-those siblings that score near it. Its blocks are joined in page order.
+those siblings that score near it; or, if it lies in an ``article`` or ``main`` with few links, all of that. Its blocks are joined in page order.
 
 Pages are independent: one Arrow pass, no shuffle, memory bounded by a batch.
 
@@ -122,6 +122,27 @@ def parse(page: str) -> Node:
     return root
 
 
+def _spare(root: Node) -> None:
+    """A class or id does not count on an element with most of the page's unlinked text, if no article or heading is outside of it."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(x for x in node.items if not isinstance(x, str) and x.tag not in DROPPED)
+    if not any(x.odd for x in order):
+        return
+    plain: dict[int, int] = {}
+    heads: dict[int, int] = {}
+    for node in reversed(order):
+        below = [x for x in node.items if not isinstance(x, str) and id(x) in plain]
+        plain[id(node)] = sum(len(x.strip()) for x in node.items if isinstance(x, str)) + sum(plain[id(x)] for x in below if x.tag != "a")
+        heads[id(node)] = 0 if node.tag == "header" else (node.tag in ("article", "main", "h1")) + sum(heads[id(x)] for x in below)
+    text, n = plain[id(root)], heads[id(root)]
+    for node in order:
+        if node.odd and heads[id(node)] == n and plain[id(node)] > (0.5 if n else 0.9) * text:
+            node.odd = False
+
+
 def _kept(node: Node) -> bool:
     if node.tag in DROPPED or node.odd:
         return False
@@ -208,12 +229,18 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _spare(root)
     order = _prune(root)
     _measure(order)
     containers = [n for n in order if n.tag in BONUS or n is root]
     best = max(containers, key=lambda n: n.score if n is not root else n.score * 0.5)
     if best.score <= 0:
         best = root
+    up = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    if up is not None and up is not best and up.linked <= 0.2 * up.chars:
+        best = up  # however long the page, its heading and short sections stay
     kept = [best]
     if best.parent is not None:
         bar = max(10.0, best.score * 0.3)

@@ -92,6 +92,17 @@ def test_html(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 40])
+def test_html_of_any_length_keeps_the_article(n):
+    body = [f"Paragraph {k}, which is long enough, with commas, to count as prose in every respect that matters here." for k in range(n)]
+    inner = "<h1>Head</h1><div>" + "".join(f"<p>{x}</p>" for x in body) + "</div><section><p>Short end.</p></section>"
+    comments = "<div class=comments>" + "<p>I, for one, disagree, entirely, with all of it, and so should you, dear reader.</p>" * 99 + "</div>"
+    want = " ".join(["Head", *body, "Short end."])
+    assert main_text(f"<body><article>{inner}</article></body>") == want
+    assert main_text(f"<body><div class='post no-sidebar'><article>{inner}</article></div><div class=sidebar><p>Side, bar.</p></div></body>") == want
+    assert main_text(f"<body><article>{inner}</article>{comments}</body>") == want  # most of the text, and still no article
+
+
 def test_html_without_an_article():
     body = "".join(f"<p>Paragraph {k}, which is long enough, with commas, to count as prose in every respect that matters here.</p>" for k in range(4))
     links = "<div>" + "".join(f'<a href="/{k}">Some link text, number {k}</a> ' for k in range(30)) + "</div>"
