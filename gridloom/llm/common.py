@@ -22,38 +22,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is one set here.
+    Only where the session names none and runs on this machine alone is one set here; a cluster must name one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             where = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             where = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
             spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+#: Has Spark drop an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as a table in the shared folder: lineage ends there, and a lost executor costs nothing.
 
-    Parquet is compressed and read by column, which checkpoint files are not.
+    Parquet is compressed and read by column, which checkpoint files are not. Shuffle files of the computation go when it is
+    done, the table when it is discarded or the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is settled now
+    fs, at = _at(out)
+    fs.deleteOnExit(at)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a settled table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(df._settled_at)
-    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+def _at(df: DataFrame) -> tuple:
+    """The file system and path of a settled table."""
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+    return at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for df in tables:
+        fs, at = _at(df)
+        fs.delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -65,6 +84,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """The running result of ``op`` over an array, each element included.
+
+    An array that grows by one is copied each time, so results are built in blocks of as many elements as there are blocks:
+    n elements cost n times the root of n copied numbers, not n squared.
+    """
+
+    def within(block: Column) -> Column:
+        step = lambda acc, x: let(op(acc["at"], x), lambda y: F.struct(y.alias("at"), F.concat(acc["out"], F.array(y)).alias("out")))
+        return F.aggregate(block, F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out")), step, lambda acc: acc["out"])
+
+    def cut(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        return let(width, lambda w: F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(v) - 1, w).cast("int")), lambda k: within(F.slice(v, k * w + 1, w))))
+
+    def joined(blocks: Column) -> Column:
+        tops = within(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return let(tops, lambda t: F.flatten(F.transform(blocks, lambda b, k: F.when(k == 0, b).otherwise(let(F.get(t, k - 1), lambda c: F.transform(b, lambda x: op(c, x)))))))
+
+    return F.when(F.size(values) > 0, let(values, lambda v: let(cut(v), joined))).otherwise(F.slice(F.array(zero), 1, 0))
+
+
 def words(text: Column) -> Column:
     """The words of a text, maximal runs without white space; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+", -1), "")
