@@ -1,9 +1,9 @@
 """Operator 2, line dedup: drop lines that many documents hold, but for one place.
 
-Lines are normalised to keys and hashed to 128 bits. Documents are counted per hash, with partial sums before
-the shuffle; a hash over the threshold keeps its lines only in the largest ``doc_id`` that holds it. What must go is
-gathered per document and the rest is put together again by position. Full texts move once, in the last join; the
-counting moves hashes only, and the one join by hash is a plain equi-join whose hot keys Spark splits at run time.
+Lines are normalised to keys and hashed to 128 bits, once; places and hashes are a table. Documents are counted per hash, with partial sums before
+the shuffle; a hash over the threshold keeps its lines only in the largest ``doc_id`` that holds it. The places that must go are
+gathered per text, and what stays is put together again by position, in time that is in proportion to the number of lines. Full texts move once, in
+the last join; the counting moves hashes only, and the one join by hash is a plain equi-join whose hot keys Spark splits at run time.
 
 Defined cases: a null or empty text is one empty line and comes back as the empty text; rows that repeat a
 ``doc_id`` count as one document, and lose the same lines; a row whose ``doc_id`` is null counts for nothing
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACES, let, lower_ascii, settled
+from gridloom.llm.common import SPACES, discard, let, lower_ascii, settled
 
 
 def line_key(line: Column) -> Column:
@@ -28,46 +28,50 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key, F.lit(2)).alias("b"))
 
 
-def _hashes(text: Column, min_chars: int) -> Column:
-    """The hash of every line, by position; null where the key is too short to count."""
-    return F.transform(F.split(text, "\n", -1), lambda x: let(line_key(x), lambda k: F.when(F.length(k) >= min_chars, _hash(k))))
+def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Settled: (_id, _t1, _t2, pos, a, b), the places and hashes of the lines that are long enough to count, of each text once."""
+    hashes = F.transform(F.split(F.col("_text"), "\n", -1), lambda x: let(line_key(x), lambda k: F.when(F.length(k) >= min_chars, _hash(k))))
+    each = docs.select("_id", "_t1", "_t2", F.posexplode(hashes).alias("pos", "h")).filter(F.col("h").isNotNull())
+    return settled(each.select("_id", "_t1", "_t2", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b")))
 
 
-def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, a, b) of every document's distinct long lines, and (a, b, keeper) of those in at least ``min_docs``."""
-    held = docs.select("_id", F.explode(F.array_distinct(F.filter(_hashes(F.col("_text"), min_chars), lambda h: h.isNotNull()))).alias("h")).select(
-        "_id", F.col("h.a").alias("a"), F.col("h.b").alias("b")
-    )
-    counts = held.groupBy("a", "b").agg(F.countDistinct("_id").alias("n"), F.max("_id").alias("keeper"))
-    return held, counts.filter(F.col("n") >= min_docs).drop("n")
+def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """Settled: (a, b, keeper) of the lines in at least ``min_docs`` documents.
 
+    As a table of its own it is broadcast if Spark finds it small; else both sides are shuffled by key alone, and hot keys split.
+    """
+    counts = lines.groupBy("a", "b").agg(F.countDistinct("_id").alias("n"), F.max("_id").alias("keeper"))
+    return settled(counts.filter(F.col("n") >= min_docs).drop("n"))
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with ``text`` reduced to its kept lines, and ``n_lines`` and ``n_dropped`` in the column ``_dedup``."""
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    held, frequent = frequent_lines(base.select("_id", "_text"), min_chars, min_docs)
-    # As a table of its own it is broadcast if Spark finds it small; else both sides are shuffled by key alone, and hot keys split.
-    frequent = settled(frequent)
+
+def _judged(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """Every row of ``docs`` as ``_row``, its kept text as ``_text``, ``n_lines`` and ``n_dropped``."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), text.alias("_text"))
+    base = base.withColumns({"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text", F.lit(2))})
+    lines = long_lines(base.select("_id", "_t1", "_t2", "_text"), min_chars)
+    frequent = frequent_lines(lines, min_docs)
     # Null ids are never the keeper: null-safe inequality drops their lines too.
-    gone = held.join(frequent, ["a", "b"]).filter(~F.col("_id").eqNullSafe(F.col("keeper")))
-    per_doc = gone.groupBy("_id").agg(F.collect_set(F.struct("a", "b")).alias("_gone")).withColumnRenamed("_id", "_gid")
-    joined = base.join(per_doc, F.col("_id").eqNullSafe(F.col("_gid")), "left")
-    lines, gone_set = F.split(F.col("_text"), "\n", -1), F.col("_gone")
-    hashes = F.when(gone_set.isNotNull(), _hashes(F.col("_text"), min_chars))
-    judged = joined.select("_row", "_text", gone_set, lines.alias("_lines"), hashes.alias("_h"))
-    # The set holds only the hashes that this document must drop.
-    kept = F.when(
-        F.col("_gone").isNotNull(),
-        F.filter(F.col("_lines"), lambda x, i: F.get(F.col("_h"), i).isNull() | ~F.array_contains(F.col("_gone"), F.get(F.col("_h"), i))),
-    ).otherwise(F.col("_lines"))
+    gone = lines.join(frequent, ["a", "b"]).filter(~F.col("_id").eqNullSafe(F.col("keeper")))
+    gone = settled(gone.groupBy("_id", "_t1", "_t2").agg(F.collect_set("pos").alias("_gone")))
+    discard(lines, frequent)
+    g = gone.withColumnsRenamed({"_id": "_gid", "_t1": "_g1", "_t2": "_g2"})
+    joined = base.join(g, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_t1") == F.col("_g1")) & (F.col("_t2") == F.col("_g2")), "left")
+    judged = joined.select("_row", F.split("_text", "\n", -1).alias("_lines"), "_gone")
+    # Sets of places: by hashing, in proportion to the number of lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("_lines"), i)))
     judged = judged.select("_row", F.size("_lines").cast("long").alias("n_lines"), kept.alias("_kept"))
-    judged = judged.select(
-        "_row", F.array_join("_kept", "\n").alias("_text"), F.struct("n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped")).alias("_dedup")
-    )
-    return judged.select(*[F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns], "_dedup")
+    return judged.select("_row", F.array_join("_kept", "\n").alias("_text"), "n_lines", (F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """``docs``, all its columns, with ``text`` reduced to its kept lines."""
+    judged = _judged(docs, min_chars, min_docs)
+    return judged.select(*[F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def dedup_lines_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of each document's kept text."""
-    out = dedup_lines(docs.select("doc_id", "text"), min_chars, min_docs)
-    return out.select("doc_id", F.col("_dedup.n_lines").alias("n_lines"), F.col("_dedup.n_dropped").alias("n_dropped"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    judged = _judged(docs.select("doc_id", "text"), min_chars, min_docs)
+    return judged.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("_text"), 256).alias("kept_sha256"))
