@@ -4,8 +4,8 @@ Every source's documents are shuffled by a hash of their id and repeated up to `
 finish time is the words of its source up to its end, divided by the source's target. All copies, sorted by that
 time over all sources, are taken until the budget of words is spent.
 
-Neither the running sums nor the global sort put a source, or all copies, into one task. Sums run over
-``16 ** digits`` hash ranges of each source, then within a range. The sort needs no rows moved: words are summed over
+Neither the running sums nor the global sort put a source, an id, or all copies, into one task. Documents are sorted over all
+partitions by source, hash and row; sums run within a partition, and from partition to partition over one row each. The sort needs no rows moved: words are summed over
 ranges of the finish time, the one range in which the budget ends is cut finer, and only what remains there is
 ordered; the last copy taken is one row, against which every document is then held.
 
@@ -13,8 +13,8 @@ Targets: the total of all sizes is shared by the sources' weights; a target stop
 source's size, the excess goes to the others by weight, until none is above.
 
 Defined cases: a null or empty text has size 0 and takes 0; a null source is a source of its own, ranked last; a null
-id is a document like any other; rows that repeat a ``doc_id`` are documents of their own and may trade places;
-the result depends on the rows alone, not on their order or partitions; an empty table gives an empty table;
+id is a document like any other, with the hash of its row for that of its id; rows that repeat a ``doc_id`` are documents of their own,
+in order of size and row hash; rows that are equal in all columns stand for each other; documents of one finish time follow in order of source, hash, id and copy; the result depends on the rows alone, not on their order or partitions; an empty table gives an empty table;
 further columns are not read by the report and carried along by :func:`mix`.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.llm.common import range_rank, settled, words
+from gridloom.llm.common import discard, range_rank, settled, words
 
 #: Ranges of finish time at each of the two levels. The first ends at time 2; what is later shares its last range.
 RANGES = 4096
@@ -57,21 +57,34 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epo
     return per.select("source", "source_size", "rank", F.when(above, most.cast("double")).otherwise(free).alias("target"))
 
 
-def _queued(docs: DataFrame, weights: Sequence[int], max_epochs: int, digits: int) -> DataFrame:
+def _row_hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits of a whole row; columns that Spark cannot hash are left out."""
+    every = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*every), F.xxhash64(F.lit(1), *every, F.lit(2))
+
+
+def _queued(docs: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
     """Every document with its source's figures and ``cum``, the words of its source up to its end."""
-    sized = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("size"), "source")
-    sized = settled(sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    h1, h2 = _row_hashes(docs)
+    sized = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("size"), "source", h1.alias("h1"), h2.alias("h2"))
+    sized = settled(sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("h1").cast("string"))))))
     targets = source_targets(sized, weights, max_epochs).withColumnRenamed("source", "_source")
-    part = F.substring("key", 1, digits).alias("part")
-    parts = sized.groupBy("source", part).agg(F.sum("size").alias("words"))
-    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # 16 ** digits rows at most
+    # Ranges of the full order: no source and no id, however frequent, is one range.
+    placed = sized.orderBy(F.col("source").asc_nulls_last(), "key", F.col("doc_id").asc_nulls_last(), "size", "h1", "h2").withColumn("at", F.monotonically_increasing_id())
+    placed = settled(placed.withColumn("part", F.shiftright("at", 33)))
+    discard(sized)
+    parts = placed.groupBy("source", "part").agg(F.sum("size").alias("words"))
+    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition of the sort
     parts = parts.select(F.col("source").alias("_s"), F.col("part").alias("_p"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    within = W.partitionBy("source", "part").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, 0)
-    running = sized.withColumn("part", part).withColumn("run", F.sum("size").over(within))
+    within = W.partitionBy("source", "part").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    running = placed.withColumn("run", F.sum("size").over(within))
     running = running.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
-    return running.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "size", "source", "source_size", "rank", "target", "key", (F.col("base") + F.col("run")).alias("cum")
+    queued = running.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "doc_id", "size", "source", "source_size", "rank", "target", "key", "h1", "h2", (F.col("base") + F.col("run")).alias("cum")
     )
+    queued = settled(queued)
+    discard(placed)
+    return queued
 
 
 def _finish(epoch: Column | int) -> Column:
@@ -88,9 +101,9 @@ def _place(epoch: Column | int) -> Column:
     )
 
 
-def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, digits: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target and ``copies``, how often the mix takes the document."""
-    queued = settled(_queued(docs, weights, max_epochs, digits))
+def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
+    """doc_id, size, source_size, target, ``copies``, how often the mix takes the document, and the hash of its row."""
+    queued = _queued(docs, weights, max_epochs)
     budget = queued.agg(F.sum("size")).first()[0] or 0
     coarse = F.least(F.floor(F.col("t") * (RANGES // 2)), F.lit(RANGES - 1))
     fine = F.least(F.floor((F.col("t") * (RANGES // 2) - F.col("c")) * RANGES), F.lit(RANGES - 1))
@@ -125,7 +138,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int =
     n = taken[0]
     for x in taken[1:]:
         n = n + x
-    return queued.select("doc_id", "size", "source", "source_size", "target", n.alias("copies"))
+    return queued.select("doc_id", "size", "source", "source_size", "target", "h1", "h2", n.alias("copies"))
 
 
 def _before(x: Column, c: int, f: int) -> Column:
@@ -141,13 +154,11 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixture: the rows of ``docs``, each as often as the mix takes it, with all their columns.
 
-    Repeated rows of one id stand for each other, so each distinct id has its own count of copies.
+    Rows that are equal in all columns are one here, with the copies of all of them: they are thinned before anything moves.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.size(words(F.col("text"))).cast("long").alias("_size"), F.col("source").alias("_src"))
-    turn = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.lit(1)))
-    rows = rows.withColumn("_turn", turn("_id", "_size", "_src"))
-    counts = mixed(docs, **how).filter(F.col("copies") > 0)
-    counts = counts.withColumn("_cturn", turn("doc_id", "size", "source")).select(F.col("doc_id").alias("_cid"), F.col("size").alias("_csize"), F.col("source").alias("_csrc"), "_cturn", "copies")
-    same = F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_size") == F.col("_csize")) & F.col("_src").eqNullSafe(F.col("_csrc")) & (F.col("_turn") == F.col("_cturn"))
-    out = rows.join(counts, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select("_row.*")
+    h1, h2 = _row_hashes(docs)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), h1.alias("_h1"), h2.alias("_h2"))
+    rows = rows.withColumn("_turn", F.row_number().over(W.partitionBy("_h1", "_h2").orderBy("_h1"))).filter("_turn = 1")
+    counts = mixed(docs, **how).groupBy("h1", "h2").agg(F.sum("copies").alias("copies")).filter(F.col("copies") > 0)
+    out = rows.join(counts, (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
