@@ -73,7 +73,7 @@ def digests(text: str) -> np.ndarray:
     for piece in pieces(text):
         n = seen[piece] = seen.get(piece, -1) + 1
         out.append((xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) + n * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
-    return np.array(out, np.uint64)
+    return np.unique(np.array(out, np.uint64))
 
 
 class Sketches:
@@ -134,6 +134,7 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def difference(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """How many digests only ``a[i]``, and only ``b[i]`` holds, by subtracting and peeling their sketches."""
+    a, b = [np.unique(x) for x in a], [np.unique(x) for x in b]  # a digest that is there twice would never peel
     only_a, only_b = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     todo = np.arange(len(a))
     sizes = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -149,9 +150,6 @@ def difference(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np
         only_b[todo] = np.bincount(owner[sign < 0], minlength=len(todo))
         todo = todo[~clean]
         cells[todo] *= GROWTH
-        for i in todo[cells[todo] > 64 * (sizes[0][todo] + sizes[1][todo] + CELLS)]:  # one digest twice in a set: no size helps
-            only_a[i], only_b[i] = len(np.setdiff1d(a[i], b[i])), len(np.setdiff1d(b[i], a[i]))
-        todo = todo[cells[todo] <= 64 * (sizes[0][todo] + sizes[1][todo] + CELLS)]
     return only_a, only_b
 
 
