@@ -91,16 +91,19 @@ class Archive:
     gaps: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def _parse(data: bytes) -> tuple[Record, int]:
-    """The record at the start of ``data`` and its length; raises ValueError if it fails a check."""
-    line, sep, rest = data.partition(b"\n")
-    if not sep or line.rstrip(b"\r") not in (b"WARC/1.0", b"WARC/1.1"):
+def _parse(data: bytes, pos: int, last_end: int) -> tuple[Record, int]:
+    """The record at ``pos`` and where it ends; raises ValueError if it fails a check. Nothing but the record is copied.
+
+    ``last_end`` is the place of the last end of headers in ``data``, so that none is looked for after it.
+    """
+    version = _VERSION.match(data, pos)
+    if not version:
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", pos) if pos <= last_end else -1
     if end < 0:
         raise ValueError("no end of headers")
     headers = {}
-    for x in data[len(line) + 1 : end].split(b"\r\n"):
+    for x in data[version.end() : end].split(b"\r\n"):
         name, colon, value = x.partition(b":")
         if not colon:
             raise ValueError("bad header")
@@ -141,10 +144,11 @@ def _member(data: bytes, pos: int) -> tuple[bytes, int, str]:
 def _within(inner: bytes, damaged: bool) -> tuple[list[Record], list[tuple[int, int, str]]]:
     """The records in a member's bytes that pass their checks, and the gaps between them."""
     found, gaps, at, gap, why = [], [], 0, None, ""
+    last_end = inner.rfind(b"\r\n\r\n")
     while at < len(inner):
         try:
-            record, n = _parse(inner[at:])
-            if damaged and (at + n == len(inner) or "warc-block-digest" not in record.headers):
+            record, end = _parse(inner, at, last_end)
+            if damaged and (end == len(inner) or "warc-block-digest" not in record.headers):
                 raise ValueError("not sure in a damaged member")
         except ValueError as e:
             if gap is None:
@@ -156,7 +160,7 @@ def _within(inner: bytes, damaged: bool) -> tuple[list[Record], list[tuple[int,
             gaps.append((gap, at, why))
             gap = None
         found.append(record)
-        at += n
+        at = end
     if gap is not None:
         gaps.append((gap, len(inner), why))
     return found, gaps
@@ -168,6 +172,7 @@ def salvage(data: bytes) -> Archive:
     A gap within a member has the member's place, and its own place among the member's bytes in its reason.
     """
     out, pos, gap, why = Archive(), 0, None, ""
+    last_end = data.rfind(b"\r\n\r\n")
     while pos < len(data):
         found, gaps, damage = [], [], ""
         try:
@@ -177,8 +182,8 @@ def salvage(data: bytes) -> Archive:
                 if not found and (damage or gaps):
                     raise ValueError(damage or gaps[0][2])
             else:
-                record, n = _parse(data[pos:])
-                found, end = [record], pos + n
+                record, end = _parse(data, pos, last_end)
+                found = [record]
         except ValueError as e:
             if gap is None:
                 gap, why = pos, str(e)
