@@ -9,7 +9,7 @@ those siblings that score near it; or, if it lies in an ``article`` or ``main``
 Pages are independent: one Arrow pass, no shuffle, memory bounded by a batch.
 
 Defined cases: null or empty html, and a page without text, give the empty text; unclosed and misnested tags are
-closed by what follows; repeated rows are treated alike; an empty table gives an empty table; columns other than
+closed by what follows; of containers with equal scores the first in the page counts, an outer before an inner one; repeated rows are treated alike; an empty table gives an empty table; columns other than
 ``page_id``, ``url`` and ``html`` are never read.
 """
 
@@ -161,32 +161,34 @@ def _prune(root: Node) -> list[Node]:
         node = stack.pop()
         order.append(node)
         node.items = [x for x in node.items if isinstance(x, str) or _kept(x)]
-        stack.extend(x for x in node.items if not isinstance(x, str))
+        stack.extend(x for x in reversed(node.items) if not isinstance(x, str))
     return order
 
 
 def _measure(order: list[Node]) -> None:
     """Characters and linked characters of each subtree, then points of paragraphs for their containers."""
-    own: dict[int, str] = {}
+    inline: dict[int, tuple[int, int]] = {}  # characters and commas outside of the blocks below
     for node in reversed(order):
-        texts = []
+        chars = commas = 0
         for x in node.items:
             if isinstance(x, str):
-                texts.append(x)
+                n = len(x.strip())
+                node.chars += n
+                more = (n, x.count(","))
             else:
                 node.chars += x.chars
                 node.linked += x.chars if x.tag == "a" else x.linked
-                if x.tag not in BLOCKS:
-                    texts.append(own[id(x)])
-        own[id(node)] = " ".join(texts)
-        node.chars += sum(len(x.strip()) for x in node.items if isinstance(x, str))
+                more = (0, 0) if x.tag in BLOCKS else inline[id(x)]
+            if more[0]:
+                chars, commas = chars + more[0] + bool(chars), commas + more[1]
+        inline[id(node)] = chars, commas
     for node in order:
         if node.tag not in BLOCKS:
             continue
-        text = own[id(node)].strip()
-        if not text:
+        chars, commas = inline[id(node)]
+        if not chars:
             continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3.0)
+        points = 1 + commas + min(chars / 100, 3.0)
         target = node if node.tag in BONUS else node.parent
         if target is not None:
             target.score += points
