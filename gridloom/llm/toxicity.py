@@ -11,7 +11,8 @@ Labels, language, source and id never enter a score; the id only decides by ``cr
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone; a label is the larger of
 several for one id, and a null label none; without a labelled row every score is 0.5; repeated rows score
-alike; an empty table gives an empty table; further columns are not read by the report and carried along by the filter.
+alike, and of rows with one labelled id that with the least features is learned from; a null id has no label and is not held out; of labels at the
+sample's end with one hash the lesser id counts; an empty table gives an empty table; further columns are not read by the report and carried along by the filter.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def featurizer(settings: Settings) -> Callable[[str], np.ndarray]:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, float]:
@@ -116,6 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(w[full], pa.float64())], ["place", "weight"])
 
     featured = seen.mapInArrow(features, "_order long, _id long, _y long, _x binary")
+    # Of rows that repeat an id, one is learned from: the sample stays within its bound.
+    featured = featured.groupBy("_order", "_id", "_y").agg(F.min("_x").alias("_x"))
     turns = featured.withColumn("_epoch", F.explode(F.array(*[F.lit(e) for e in range(settings.epochs)])))
     ordered = turns.repartition(1).sortWithinPartitions("_epoch", "_order", "_id").select("_x", "_y")
     model = ordered.mapInArrow(fit, "place long, weight double").toPandas()
