@@ -4,15 +4,17 @@ A document's full windows are cut off first; what remains of it, less than a win
 holds ``group_windows`` windows' worth, differencing deals its pieces to that many windows: every piece starts as a
 partial partition, and the two partitions with the largest imbalance are merged so that the fullest window of one meets
 the emptiest of the other, until one partition is left. The window count starts at the least possible and
-rises while a window exceeds its capacity. Where documents may be cut, as here, a window over capacity first gives its
-surplus to windows with room, so that the count need not rise.
+rises while a window exceeds its capacity. Where documents may be cut, as here, differencing says which pieces share a window, and a window
+over capacity gives its surplus to windows with room before the count rises. Without cuts the count rises by some 2 to 3 in 100 over
+groups of 256 windows, which would be padding; with them there is none.
 
 Each task packs the documents it reads, one group of bounded size after another: nothing is shuffled, memory is
 bounded by one group and one text, and a lost task is simply run again with the same result. Within a task a group's
 surplus goes on to the next group; what is left at a task's end goes into windows of falling powers of two, which
 need no padding.
 
-Defined cases: a null or empty text is a document of the end token alone; repeated rows are documents of their own; an
+Defined cases: a null or empty text is a document of the end token alone; repeated rows are documents of their own; of equal imbalances, and of
+pieces of one length, the first that came is taken first; an
 empty table gives an empty table; columns other than ``doc_id`` and ``text`` are never read.
 """
 

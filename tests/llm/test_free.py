@@ -113,6 +113,35 @@ def test_html_without_an_article():
 # toxicity
 
 
+def naive_difference(sizes, k):
+    """Differencing with every partial partition as a full list of k sums."""
+    left = [(n if k > 1 else 0, -i, sorted([n] + [0] * (k - 1), reverse=True)) for i, n in enumerate(sizes)]
+    serial = len(sizes)
+    while len(left) > 1:
+        left.sort(key=lambda x: x[:2], reverse=True)
+        a, b = left[0][2], left[1][2]
+        merged = sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)
+        left = [*left[2:], (merged[0] - merged[-1], -serial, merged)]
+        serial += 1
+    return left[0][2] if left else [0] * k
+
+
+def test_packing_against_naive_differencing():
+    rnd = random.Random(11)
+    for _ in range(300):
+        sizes = [rnd.randrange(1, 100) for _ in range(rnd.randrange(1, 14))]
+        k = rnd.randrange(1, 7)
+        parts = pk.difference(sizes, k)
+        assert sorted(i for p in parts for i in p) == list(range(len(sizes))) and len(parts) == k
+        assert sorted((sum(sizes[i] for i in p) for p in parts), reverse=True) == naive_difference(sizes, k)
+        # The count rises until differencing fits; pieces stay whole.
+        capacity, count = 100, -(-sum(sizes) // 100)
+        while max(naive_difference(sizes, count)) > capacity:
+            count += 1
+        whole = pk.pack([(i, 0, n) for i, n in enumerate(sizes)], capacity, cut=False)
+        assert len(whole) == count and sorted(p for w in whole for p in w) == [(i, 0, n) for i, n in enumerate(sizes)]
+
+
 def test_toxicity(spark):
     rnd = random.Random(7)
     texts, toxic = [], []
@@ -306,13 +335,46 @@ def corpus(rnd):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "settings"), [(0, nj.Settings()), (1, nj.Settings(shared=2, pairs_per_group=0, leader_rounds=2, broadcast_ids=0, bloom_bits=10, counter_bits=8))])
+@pytest.mark.parametrize(("seed", "settings"), [(0, nj.Settings()), (1, nj.Settings(shared=2, direct=1, rounds=3, broadcast_ids=0, bloom_bits=10, counter_bits=8)), (2, nj.Settings(direct=2, rounds=1))])
 def test_ngram_join(spark, seed, settings):
     texts = corpus(random.Random(seed))
     got = sorted(tuple(r) for r in nj.linked(docs(spark, texts), settings).collect())
     assert got == brute_components(texts)
 
 
+def cloud(rnd, n, words, most):
+    """``n`` near copies of one text, each with a few words of its own; every fifth is a near copy of an earlier one."""
+    base = [f"w{rnd.randrange(400)}" for _ in range(words)]
+    out = []
+    for k in range(n):
+        t = list(rnd.choice(out)) if out and k % 5 == 0 else list(base)
+        for _ in range(1 if out and k % 5 == 0 else rnd.randrange(most)):
+            t[rnd.randrange(words)] = rnd.choice(["x", f"y{rnd.randrange(50)}", f"z{rnd.randrange(10**6)}"])
+        out.append(t)
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize(("n", "words", "most"), [(1000, 100, 8), (300, 40, 6)])
+def test_near_copies_in_large_groups(spark, monkeypatch, n, words, most):
+    """Exact, with pairs far below the square of the group."""
+    texts = cloud(random.Random(n), n, words, most)
+    formed, verify, close = [], nj._verify, nj._close
+    monkeypatch.setattr(nj, "_verify", lambda d, i, pairs, s: formed.append(pairs.count()) or verify(d, i, pairs, s))
+    monkeypatch.setattr(nj, "_close", lambda pairs, d, s: formed.append(pairs.count()) or close(pairs, d, s))
+    got = sorted(tuple(r) for r in nj.linked(docs(spark, texts)).collect())
+    assert got == brute_components(texts)
+    assert 30 < len({c for _, _, c in got}) < n
+    assert sum(formed) < n * n / 10, formed
+
+
+def test_sets_with_one_name(spark, monkeypatch):
+    """Sets that share their first 64 bits stay apart."""
+    own = nj._name
+    monkeypatch.setattr(nj, "_name", lambda x: (len(x) % 2).to_bytes(8, "little") + own(x)[8:])
+    rows = nj.prefixes(docs(spark, ["a b c d", "e f g h", "e f g h", "a b c"]), nj.Settings()).collect()
+    assert len({r.sid for r in rows}) == 3 and len({r.s1 for r in rows}) == 2
+
+
 def test_ngram_join_small_cases(spark):
     assert nj.linked(docs(spark, [])).count() == 0
     text = prose(random.Random(1), 30)

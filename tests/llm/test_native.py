@@ -1,13 +1,16 @@
 """Operators made of built-in functions, against plain Python."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import running
 from gridloom.llm.linededup import dedup_lines, dedup_lines_report
 from gridloom.llm.mixing import mix, mix_report
 from gridloom.llm.pii import findings, mod97, pii_report, redact
@@ -76,7 +79,9 @@ def test_line_dedup(spark):
     out = sorted(tuple(r) for r in dedup_lines_report(docs(spark, texts)).collect())
     assert out == brute_dedup(texts)
     full = dedup_lines(docs(spark, texts))
-    assert full.columns == [*docs(spark, []).columns, "_dedup"]
+    assert full.columns == docs(spark, []).columns
+    clash = docs(spark, texts).withColumns({c: F.col("doc_id") * 2 for c in ("_dedup", "_gone", "_t1", "_row", "n_lines", "pos")})
+    assert dedup_lines(clash).columns == clash.columns and {(r._dedup, r.n_lines, r.text) for r in dedup_lines(clash).collect()} == {(2 * r.doc_id, 2 * r.doc_id, r.text) for r in full.collect()}
     assert {r.doc_id: r.text for r in full.collect()}[2] == "own 0"
     assert dedup_lines_report(docs(spark, [])).count() == 0
     twice = docs(spark, texts)
@@ -85,6 +90,23 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.n_dropped for r in dedup_lines_report(lost).collect()}[None] == 2
 
 
+def test_line_dedup_of_rows_with_one_id(spark):
+    """Each row loses the lines at its own places."""
+    often = ["This line is at least forty characters long, number " + str(k) for k in range(2)]
+    rows = [(k, often[0]) for k in range(5)] + [(0, "own\n" + often[0]), (0, often[1] + "\n" + often[0]), (0, often[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in dedup_lines(df).collect())
+    assert kept == [(0, ""), (0, ""), (0, often[1]), (0, "own"), (1, ""), (2, ""), (3, ""), (4, often[0])]
+
+
+def test_many_lines_of_one_text(spark):
+    """50,000 shared lines in each of six texts: in proportion to the lines."""
+    text = "\n".join(f"A line that is long enough to be counted, number {k}" for k in range(50_000))
+    began = time.perf_counter()
+    out = {r.doc_id: (r.n_lines, r.n_dropped) for r in dedup_lines_report(docs(spark, [text] * 6)).collect()}
+    assert out == {**dict.fromkeys(range(5), (50_000, 50_000)), 5: (50_000, 0)} and time.perf_counter() - began < 60
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -128,6 +150,31 @@ def test_pii(spark):
     assert spark.createDataFrame([("DE89 3704 0044 0532 0130 00",)], "x string").select(mod97(F.col("x")).alias("ok")).first().ok
 
 
+def test_pii_of_long_texts(spark):
+    """1 MB of numbers: in proportion to the text, and still exact."""
+    texts = ["1," * 500_000, "1.2.3.4 " * 60_000, "+49 30 1234567; " * 40_000, "4111 1111 1111 1111, a@b.c " * 20_000, "call (743) 555-3824 " * 30_000, "1 " * 300_000]
+    began = time.perf_counter()
+    for r in pii_report(docs(spark, texts)).collect():
+        assert r.base_sha256 == hashlib.sha256(brute_pii(texts[r.doc_id]).encode()).hexdigest()
+    hidden = {r.doc_id: r.text for r in redact(docs(spark, texts)).collect()}
+    assert hidden == {0: texts[0], 1: "<ip> " * 60_000, 2: "<phone>; " * 40_000, 3: "<card>, <email> " * 20_000, 4: "call <local_phone> " * 30_000, 5: texts[5]}
+    assert time.perf_counter() - began < 120
+
+
+def test_redaction_of_spans_that_overlap(spark):
+    text = "x" * 5000 + " a1.2.3.4@b.c é𝄞 " + "y" * 9000 + " 1.2.3.4"
+    assert redact(docs(spark, [text, None, text[:5001]])).collect()[0].text == "x" * 5000 + " <email> é𝄞 " + "y" * 9000 + " <ip>"
+
+
+def test_running(spark):
+    rnd = random.Random(0)
+    lists = [[], [3], *[[rnd.randrange(-50, 50) for _ in range(n)] for n in (2, 3, 4, 5, 17, 100, 101)]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, x array<int>")
+    got = {r.k: (r.s, r.m) for r in df.select("k", running(F.col("x"), lambda a, b: a + b, F.lit(0)).alias("s"), running(F.col("x"), F.greatest, F.lit(-99)).alias("m")).collect()}
+    for k, x in enumerate(lists):
+        assert got[k] == (list(itertools.accumulate(x)), list(itertools.accumulate(x, max)))
+
+
 def test_pii_without_digits_and_with_words_after(spark):
     at, es = "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332"
     texts = ["password = correcthorsebatterystaple", "Api_Key: " + "abcdefgh" * 2 + " end"]
