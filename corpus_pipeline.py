@@ -1,17 +1,19 @@
 """A training corpus from ``documents``: toxicity, line dedup, near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``.
+one's ``docs``. All but the last return the columns of ``documents``, and carry further ones along.
+
+Defined cases, in every stage: a null or empty text is a text without words, which is clean, has one empty line, is like no other, has size 0 and
+so is never mixed in; a null id is a row of its own, never dropped as a copy; a null source is a source; rows that repeat an id are judged each by its own text;
+an empty table gives an empty table; columns with any other name are left alone.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import shared_dir, table
+from gridloom.llm.common import discard, settled, table
 from gridloom.llm.linededup import dedup_lines
 from gridloom.llm.mixing import mix
 from gridloom.llm.ngram_join import Settings, keep_one
@@ -27,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents hold stay in one; ``n_chars`` follows the text."""
-    out = dedup_lines(docs).drop("_dedup")
+    out = dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -53,9 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is Parquet in the shared folder, and goes when the next one's is there."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(stage(spark, docs, sf_dir))
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
