@@ -1,8 +1,11 @@
 """Boxes: intersection of what readers ask for with what writers hold, coverage, runs of places.
 
-The join of boxes is an equi-join on buckets of the first axis, with the overlap of all axes as residual condition. A pair
-is kept only in the bucket where its overlap begins, so no distinct is needed. Boxes so long that they would fill too
-many buckets raise the bucket's width instead.
+The join of boxes is an equi-join on cells of a grid over the one or two axes on which boxes are short, with the overlap of all axes as residual
+condition. Boxes are classed by length: one of a length up to ``4 ** k`` lies in at most two cells of that width, and meets others in cells as
+wide as the longer of both, so a box of any length among short ones costs a few rows and draws none of them together. A pair
+is kept only in the cell where its overlap begins, so no distinct is needed.
+
+Work along the order of places (runs, groups) is done within ranges of places, and carried from range to range over one row each.
 """
 
 from __future__ import annotations
@@ -17,18 +20,71 @@ from pyspark.sql import Window as W
 
 from gridloom.plans.errors import OverlapError
 
-#: A box of average length falls into about this many buckets.
-BUCKETS_A_BOX = 2
+#: Axes of the grid at most, and the longest mean length, as part of an axis, at which an axis tells boxes apart.
+GRID_AXES, LONGEST = 2, 0.5
 
 
 def _div(x: Column, by: int) -> Column:
     return F.call_function("div", x, F.lit(by).cast("long"))
 
 
-def bucket_width(boxes: DataFrame) -> int:
-    """A width at which boxes of average length fall into few buckets."""
-    mean = boxes.agg(F.avg("c0")).first()[0]
-    return max(1, int((mean or 1) / BUCKETS_A_BOX))
+def _class(length: Column) -> Column:
+    """The least k with ``length <= 4 ** k``."""
+    return F.when(length <= 1, 0).otherwise((F.length(F.bin(length - 1)) + 1) / 2).cast("int")
+
+
+def _grid(r: DataFrame, w: DataFrame, ndims: int) -> tuple[list[int], list[list[int]], list[list[int]]]:
+    """The axes of the grid, and the classes that reads and writes have on each; a handful of numbers from one pass over both."""
+    told = []
+    for df, p in ((r, "r_"), (w, "w_")):
+        row = [F.count("*").alias("n")]
+        for i in range(ndims):
+            s, c = F.col(f"{p}s{i}"), F.col(f"{p}c{i}")
+            row += [F.min(s).alias(f"lo{i}"), F.max(s + c).alias(f"hi{i}"), F.sum(c.cast("double")).alias(f"sum{i}"), F.sort_array(F.collect_set(_class(c))).alias(f"k{i}")]
+        told.append(df.agg(*row))
+    a, b = (x.first() for x in told)
+    n = max((a["n"] or 0) + (b["n"] or 0), 1)
+    parts = []
+    for i in range(ndims):
+        ends = [x for row in (a, b) for x in (row[f"lo{i}"], row[f"hi{i}"]) if x is not None]
+        extent = max(ends) - min(ends) if ends else 1
+        parts.append((((a[f"sum{i}"] or 0) + (b[f"sum{i}"] or 0)) / n / max(extent, 1), i))
+    parts.sort()
+    axes = [i for part, i in parts[:GRID_AXES] if part <= LONGEST] or [parts[0][1]]
+    return axes, [a[f"k{i}"] for i in axes], [b[f"k{i}"] for i in axes]
+
+
+def _spread(df: DataFrame, p: str, axes: Sequence[int], others: Sequence[Sequence[int]]) -> DataFrame:
+    """Every box in the cells, as wide as its class or a higher one of the other side, that it touches."""
+    for i, other in zip(axes, others, strict=True):
+        own = F.col(f"{p}k{i}")
+        higher = F.filter(F.array(*[F.lit(k) for k in other]).cast("array<int>"), lambda k: k > own)
+        here = F.when(F.lit(min(other, default=99)) <= own, F.array(own)).otherwise(F.array().cast("array<int>"))
+        s, e = F.col(f"{p}s{i}"), F.col(f"{p}s{i}") + F.col(f"{p}c{i}") - 1
+        df = df.withColumn(f"{p}k{i}", _class(F.col(f"{p}c{i}"))).withColumn(f"_m{i}", F.explode(F.concat(here, higher)))
+        df = df.withColumn(f"_b{i}", F.explode(F.sequence(F.call_function("shiftright", s, 2 * F.col(f"_m{i}")), F.call_function("shiftright", e, 2 * F.col(f"_m{i}")))))
+    return df
+
+
+def _met(r: DataFrame, w: DataFrame, ndims: int, on: Sequence[str] = (), width: int | None = None) -> tuple[DataFrame, list[Column], list[Column]]:
+    """Rows of ``r`` (r_s.., r_c..) and ``w`` (w_s.., w_c..), with all their columns, whose boxes overlap, and the edges of the overlap.
+
+    With ``width`` the grid is that of the first axis, in ranges of this width.
+    """
+    full = lambda df, p: df.filter(reduce(lambda a, b: a & b, [F.col(f"{p}c{i}") > 0 for i in range(ndims)]))
+    r, w = full(r, "r_"), full(w, "w_")
+    lo = [F.greatest(f"r_s{i}", f"w_s{i}") for i in range(ndims)]
+    hi = [F.least(F.col(f"r_s{i}") + F.col(f"r_c{i}"), F.col(f"w_s{i}") + F.col(f"w_c{i}")) for i in range(ndims)]
+    hit = reduce(lambda a, b: a & b, [x < y for x, y in zip(lo, hi, strict=True)])
+    if width:
+        at = lambda df, p: df.withColumn("_b", F.explode(F.sequence(_div(F.col(f"{p}s0"), width), _div(F.col(f"{p}s0") + F.col(f"{p}c0") - 1, width))))
+        return at(r, "r_").join(at(w, "w_"), [*on, "_b"]).filter(hit & (F.col("_b") == _div(lo[0], width))), lo, hi
+    axes, of_r, of_w = _grid(r, w, ndims)
+    classed = lambda df, p: df.withColumns({f"{p}k{i}": _class(F.col(f"{p}c{i}")) for i in axes})
+    r, w = _spread(classed(r, "r_"), "r_", axes, of_w), _spread(classed(w, "w_"), "w_", axes, of_r)
+    for i in axes:  # in cells as wide as the longer one's class, and there where the overlap begins
+        hit = hit & (F.col(f"_m{i}") == F.greatest(f"r_k{i}", f"w_k{i}")) & (F.col(f"_b{i}") == F.call_function("shiftright", lo[i], 2 * F.col(f"_m{i}")))
+    return r.join(w, [*on, *[f"_{x}{i}" for i in axes for x in "mb"]]).filter(hit), lo, hi
 
 
 def box_join(reads: DataFrame, writes: DataFrame, ndims: int, on: Sequence[str] = (), width: int | None = None) -> DataFrame:
@@ -40,17 +96,19 @@ def box_join(reads: DataFrame, writes: DataFrame, ndims: int, on: Sequence[str]
     r, w = named(reads, "r_"), named(writes, "w_")
     if ndims == 0:
         return r.join(w, list(on)) if on else r.crossJoin(w)  # both sides are single cells
-    width = width or max(bucket_width(reads), bucket_width(writes))
-    spread = lambda df, p: df.filter(reduce(lambda a, b: a & b, [F.col(f"{p}c{i}") > 0 for i in range(ndims)])).withColumn(
-        "_b", F.explode(F.sequence(_div(F.col(f"{p}s0"), width), _div(F.col(f"{p}s0") + F.col(f"{p}c0") - 1, width)))
-    )
-    lo = [F.greatest(f"r_s{i}", f"w_s{i}") for i in range(ndims)]
-    hi = [F.least(F.col(f"r_s{i}") + F.col(f"r_c{i}"), F.col(f"w_s{i}") + F.col(f"w_c{i}")) for i in range(ndims)]
-    hit = reduce(lambda a, b: a & b, [x < y for x, y in zip(lo, hi, strict=True)])
-    met = spread(r, "r_").join(spread(w, "w_"), [*on, "_b"]).filter(hit & (F.col("_b") == _div(lo[0], width)))
+    met, lo, hi = _met(r, w, ndims, on, width)
     return met.select(*on, "r_id", "w_id", *[x.alias(f"lo{i}") for i, x in enumerate(lo)], *[x.alias(f"hi{i}") for i, x in enumerate(hi)])
 
 
+def cells_in_boxes(cells: DataFrame, boxes: DataFrame, ndims: int, on: Sequence[str]) -> DataFrame:
+    """Cells (d0.. and more) joined with the boxes (lo.., hi.. and more) of the same ``on`` that hold them; both keep their columns."""
+    if ndims == 0:
+        return cells.join(boxes, list(on))
+    points = cells.withColumns({f"r_s{i}": F.col(f"d{i}") for i in range(ndims)} | {f"r_c{i}": F.lit(1).cast("long") for i in range(ndims)})
+    spans = boxes.withColumns({f"w_s{i}": F.col(f"lo{i}") for i in range(ndims)} | {f"w_c{i}": F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(ndims)})
+    return _met(points, spans, ndims, on)[0].select(*cells.columns, *[c for c in boxes.columns if c not in on])
+
+
 def stab(points: DataFrame, boxes: DataFrame, ndims: int, on: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """The boxes that hold each point (id, d0..)."""
     as_boxes = points.select(*on, "id", *[F.col(f"d{i}").alias(f"s{i}") for i in range(ndims)], *[F.lit(1).cast("long").alias(f"c{i}") for i in range(ndims)])
@@ -75,11 +133,16 @@ def coverage(reads: DataFrame, plan: DataFrame, ndims: int) -> DataFrame:
 
 
 def distinct_coverage(reads: DataFrame, plan: DataFrame, ndims: int) -> DataFrame:
-    """As :func:`coverage`, for writes that may overlap each other: distinct cells count."""
-    cells = plan
-    for i in range(ndims):
-        cells = cells.withColumn(f"x{i}", F.explode(F.sequence(F.col(f"lo{i}"), F.col(f"hi{i}") - 1)))
-    got = cells.select(F.col("r_id").alias("id"), *[f"x{i}" for i in range(ndims)]).distinct().groupBy("id").agg(F.count("*").alias("matched"))
+    """As :func:`coverage`, for writes that may overlap each other: each place counts once.
+
+    Pieces are merged as runs along the last axis, for each index on the axes before it.
+    """
+    pieces, outer = plan, [f"x{i}" for i in range(ndims - 1)]
+    for i, x in enumerate(outer):
+        pieces = pieces.withColumn(x, F.explode(F.sequence(F.col(f"lo{i}"), F.col(f"hi{i}") - 1)))
+    n = ndims - 1
+    pieces = pieces.select(F.col("r_id").alias("id"), *outer, F.col(f"lo{n}").alias("offset"), (F.col(f"hi{n}") - F.col(f"lo{n}")).alias("len")).distinct()
+    got = coalesce_runs(pieces, ["id", *outer]).groupBy("id").agg(F.sum("len").alias("matched"))
     told = reads.select("id", size(ndims).alias("requested")).join(got, "id", "left")
     return told.select("id", "requested", F.coalesce("matched", F.lit(0).cast("long")).alias("matched"), (F.coalesce("matched", F.lit(0)) == F.col("requested")).alias("complete"))
 
@@ -141,31 +204,64 @@ def coalesce_runs(pieces: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return merged.select(*group, "offset", (F.col("_end") - F.col("offset")).alias("len"), "n")
 
 
+#: Ranges that are merged into one in each pass.
+_MERGE = 64
+
+
 def coalesce_runs_distributed(pieces: DataFrame, width: int) -> DataFrame:
-    """As :func:`coalesce_runs` without groups, for any number of runs: merged within ranges of ``width`` places first, then across.
+    """As :func:`coalesce_runs` without groups, for any number of runs: merged within ranges of about ``width`` places, then ranges of ranges.
 
-    Runs are cut at the edges of ranges; islands that touch an edge are few and meet in a second pass.
+    Runs are cut at the edges of ranges. What touches an edge, two islands a range at most, goes on to the next pass, in which
+    ranges are 64 times as wide; the others are done. Passes grow with the logarithm of the extent, and no task sees more than a range.
+    """
+    row = pieces.filter("len > 0").agg(F.avg("len").alias("mean"), F.min("offset").alias("lo"), F.max(F.col("offset") + F.col("len")).alias("hi")).first()
+    if row["hi"] is None:
+        return pieces.filter("len > 0").select("offset", "len")
+    width = max(width, int(row["mean"]))  # a run is cut into few
+    done, left = None, pieces.filter("len > 0").select("offset", "len")
+    while True:
+        at = F.explode(F.sequence(_div(F.col("offset"), width), _div(F.col("offset") + F.col("len") - 1, width)))
+        cut = left.select("offset", "len", at.alias("_k"))
+        lo, hi = F.greatest(F.col("offset"), F.col("_k") * width), F.least(F.col("offset") + F.col("len"), (F.col("_k") + 1) * width)
+        within = coalesce_runs(cut.select("_k", lo.alias("offset"), (hi - lo).alias("len")), ["_k"])
+        whole = row["lo"] // width == (row["hi"] - 1) // width
+        edge = F.lit(False) if whole else (F.pmod("offset", F.lit(width)) == 0) | (F.pmod(F.col("offset") + F.col("len"), F.lit(width)) == 0)
+        ended = within.filter(~edge).select("offset", "len")
+        done = ended if done is None else done.unionByName(ended)
+        if whole:
+            return done
+        left, width = within.filter(edge).select("offset", "len"), width * _MERGE
+
+
+#: Ranges of places over which running results are carried, one row each.
+_RANGES = 4096
+
+
+def _carried(df: DataFrame, at: str, ties: Sequence[str], value: Column, how, name: str, before_only: bool = True) -> DataFrame:
+    """``df`` with ``how`` (max or sum) of ``value`` over all rows that come earlier by ``at`` and then ``ties``, or so far.
+
+    Rows are put in ranges of equal width of ``at``. Within a range a window does it; from range to range one row each is summed up.
     """
-    at = F.explode(F.sequence(_div(F.col("offset"), width), _div(F.col("offset") + F.col("len") - 1, width)))
-    cut = pieces.filter("len > 0").select("offset", "len", at.alias("_k"))
-    lo, hi = F.greatest(F.col("offset"), F.col("_k") * width), F.least(F.col("offset") + F.col("len"), (F.col("_k") + 1) * width)
-    within = coalesce_runs(cut.select("_k", lo.alias("offset"), (hi - lo).alias("len")), ["_k"])
-    edge = (F.pmod("offset", F.lit(width)) == 0) | (F.pmod(F.col("offset") + F.col("len"), F.lit(width)) == 0)
-    return within.filter(~edge).select("offset", "len").unionByName(coalesce_runs(within.filter(edge).select("offset", "len")).select("offset", "len"))
+    ends = df.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    lo, width = (ends["lo"], (ends["hi"] - ends["lo"]) // _RANGES + 1) if ends["lo"] is not None else (0, 1)
+    df = df.withColumns({"_v": value, "_k": _div(F.col(at) - lo, width)})
+    per = df.groupBy("_k").agg(how("_v").alias("_top"))
+    earlier = per.select(F.col("_k").alias("_k2"), how("_top").over(W.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))  # 4096 rows at most
+    window = W.partitionBy("_k").orderBy(at, *ties).rowsBetween(W.unboundedPreceding, -1 if before_only else 0)
+    joined = df.withColumn("_here", how("_v").over(window)).join(F.broadcast(earlier), F.col("_k") == F.col("_k2"))
+    both = F.greatest("_here", "_carry") if how is F.max else F.coalesce("_here", F.lit(0)) + F.coalesce("_carry", F.lit(0))
+    return joined.withColumn(name, both).drop("_v", "_k", "_k2", "_here", "_carry")
 
 
 def trim_runs(pieces: DataFrame) -> DataFrame:
-    """Runs (offset, len, buf) after the earlier ones have taken what is contested: later ones are trimmed, and dropped if nothing is left."""
-    order = W.orderBy("offset", "len").rowsBetween(W.unboundedPreceding, -1)
-    reach = F.coalesce(F.max(F.col("offset") + F.col("len")).over(order), F.col("offset"))
-    cut = F.greatest(F.lit(0).cast("long"), reach - F.col("offset"))
-    told = pieces.withColumn("_cut", cut)
-    return told.filter("_cut < len").select("id", (F.col("offset") + F.col("_cut")).alias("offset"), (F.col("len") - F.col("_cut")).alias("len"), (F.col("buf") + F.col("_cut")).alias("buf"))
+    """Runs (id, offset, len, buf) after the earlier ones have taken what is contested: later ones are trimmed, and dropped if nothing is left."""
+    told = _carried(pieces, "offset", ["len", "id"], F.col("offset") + F.col("len"), F.max, "_reach")
+    told = told.withColumn("_cut", F.greatest(F.lit(0).cast("long"), F.coalesce("_reach", F.col("offset")) - F.col("offset"))).filter("_cut < len")
+    return told.select("id", (F.col("offset") + F.col("_cut")).alias("offset"), (F.col("len") - F.col("_cut")).alias("len"), (F.col("buf") + F.col("_cut")).alias("buf"))
 
 
 def interleave_groups(spans: DataFrame) -> DataFrame:
-    """Requests (id, first, end) with ``grp``: requests whose spans reach into each other share one."""
-    order = W.orderBy("first", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    new = F.coalesce(F.col("first") >= reach, F.lit(True)).cast("int")
-    return spans.withColumn("_new", new).withColumn("grp", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    """Requests (id, first, end) with ``grp``: requests whose spans reach into each other share one. Groups count from 1 in the order of places."""
+    told = _carried(spans, "first", ["end", "id"], F.col("end"), F.max, "_reach")
+    told = told.withColumn("_new", F.coalesce(F.col("first") >= F.col("_reach"), F.lit(True)).cast("long"))
+    return _carried(told, "first", ["end", "id"], F.col("_new"), F.sum, "grp", before_only=False).drop("_new", "_reach")

@@ -26,9 +26,14 @@ def to_chunks(v: DataFrame, shape: Sequence[int], chunk: Sequence[int]) -> DataF
         place = place * count[i] + (F.col(f"d{i}") - start[i])
     cells = v.select(F.array(*number).alias("chunk"), *[x.alias(f"s{i}") for i, x in enumerate(start)], *[x.alias(f"c{i}") for i, x in enumerate(count)], place.alias("p"), "value")
     keys = ["chunk", *[f"{a}{i}" for a in "sc" for i in range(n)]]
-    held = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("p", "value"))).alias("m"))
+    held = cells.groupBy(*keys).agg(F.collect_list(F.struct("p", F.lit(0).alias("blank"), "value")).alias("m"))
     total = reduce(lambda a, b: a * b, [F.col(f"c{i}") for i in range(n)])
-    return held.select(*keys, F.transform(F.sequence(F.lit(0).cast("long"), total - 1), lambda p: F.element_at("m", p)).alias("data"))
+    # Sorted by place; where cells are missing, after blanks for every place have been put among them and those not needed left out again.
+    kind = held.schema["m"].dataType.elementType["value"].dataType
+    blanks = F.transform(F.sequence(F.lit(0).cast("long"), total - 1), lambda p: F.struct(p.alias("p"), F.lit(1).alias("blank"), F.lit(None).cast(kind).alias("value")))
+    every = held.select(*keys, F.array_sort(F.when(F.size("m") == total, F.col("m")).otherwise(F.concat("m", blanks))).alias("m"))
+    one = F.filter("m", lambda x, i: (i == 0) | (x["p"] != F.get(F.col("m"), i - 1)["p"]))
+    return every.select(*keys, F.transform(one, lambda x: x["value"]).alias("data"))
 
 
 def from_chunks(chunks: DataFrame, ndims: int, keep_missing: bool = False) -> DataFrame:

@@ -35,10 +35,10 @@ def moved(requests: DataFrame) -> DataFrame:
     )
 
 
-def numrecs(*variables: DataFrame) -> DataFrame:
-    """Records over all given record variables, one row: the largest first index and 1."""
-    tops = reduce(lambda a, b: a.unionByName(b), [v.agg(F.max("d0").alias("top")) for v in variables])
-    return tops.agg((F.coalesce(F.max("top"), F.lit(-1)) + 1).cast("long").alias("numrecs"))
+def numrecs(*variables: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Records over all given record variables, one row (for each ``by``): the largest first index and 1."""
+    tops = reduce(lambda a, b: a.unionByName(b), [v.groupBy(*by).agg(F.max("d0").alias("top")) for v in variables])
+    return tops.groupBy(*by).agg((F.coalesce(F.max("top"), F.lit(-1)) + 1).cast("long").alias("numrecs"))
 
 
 def written_records(writes: DataFrame) -> DataFrame:

@@ -133,10 +133,6 @@ def boxes_frame(spark, starts: Sequence[Sequence[int]], counts: Sequence[Sequenc
     return spark.createDataFrame(rows, ", ".join(["seq long", *[f"s{i} long" for i in range(n)], *[f"c{i} long" for i in range(n)]]))
 
 
-#: Lists up to this many boxes are matched as a broadcast; longer ones by buckets of the first axis.
-BROADCAST_BOXES = 4096
-
-
 def varn(v: DataFrame, starts: Sequence[Sequence[int]], counts: Sequence[Sequence[int] | None], shape: Sequence[int] | None = None, **checks) -> DataFrame:
     """A list of boxes: each element once for each box that holds it, with the box ``seq``, its index there, and ``place``, its place in that box."""
     n = len(starts[0])
@@ -152,9 +148,10 @@ def varn(v: DataFrame, starts: Sequence[Sequence[int]], counts: Sequence[Sequenc
     low = [min(s[i] for s in starts) for i in range(n)]
     high = [max(s[i] + c[i] for s, c in zip(starts, full, strict=True)) for i in range(n)]
     hull = v.filter(in_box(low, [h - lo for lo, h in zip(low, high, strict=True)]))  # reaches the scan
-    if len(starts) <= BROADCAST_BOXES:
-        met = hull.join(F.broadcast(boxes), inside)
+    if n == 0:
+        met = hull.crossJoin(boxes)  # a single cell
     else:
+        # An equi-join on ranges of the first axis; the list came from the driver, so Spark broadcasts it if it is small.
         width = max(1, (high[0] - low[0]) // max(1, len(starts)))
         bucket = lambda x: F.call_function("div", x, F.lit(width).cast("long"))
         spread = boxes.filter("c0 > 0").withColumn("_b", F.explode(F.sequence(bucket(F.col("s0")), bucket(F.col("s0") + F.col("c0") - 1))))

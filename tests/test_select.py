@@ -51,11 +51,16 @@ def test_lists_of_boxes(v, cube):
     assert rows == want
 
 
-def test_long_lists_take_the_bucketed_way(v, monkeypatch):
-    starts, counts = [[0, 0], [0, 1], [5, 6]], [[2, 3], [4, 3], None]
-    near = sorted(map(tuple, S.varn(v, starts, counts).collect()))
-    monkeypatch.setattr(S, "BROADCAST_BOXES", 0)
-    assert sorted(map(tuple, S.varn(v, starts, counts).collect())) == near
+def test_lists_of_boxes_against_brute_force(v):
+    starts, counts = [[0, 0], [0, 1], [5, 6], [3, 3], [1, 1]], [[2, 3], [4, 3], None, [0, 2], [5, 5]]
+    cells = {(r.d0, r.d1): r.value for r in v.collect()}
+    want = sorted(
+        (k, i, j, i * (c or [1, 1])[1] + j, cells[s[0] + i, s[1] + j])
+        for k, (s, c) in enumerate(zip(starts, counts, strict=True)) for i in range((c or [1, 1])[0]) for j in range((c or [1, 1])[1]) if (s[0] + i, s[1] + j) in cells
+    )
+    found = S.varn(v, starts, counts)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_writes(v, cube):
