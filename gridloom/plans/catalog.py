@@ -19,6 +19,28 @@ from gridloom.functions.types import FORMATS, TYPES, valid_for
 from gridloom.operators.fill import fill_value
 from gridloom.plans.errors import ArrayError
 
+#: What :func:`lib_version` tells.
+VERSION = "gridloom 0.2"
+_default_format = 5
+
+
+def lib_version() -> str:
+    return VERSION
+
+
+def set_default_format(version: int) -> int:
+    """The format of schemas that name none from now on; returns what it was."""
+    global _default_format
+    if version not in FORMATS:
+        raise ArrayError("NC_EINVAL", str(version))
+    was, _default_format = _default_format, version
+    return was
+
+
+def default_format() -> int:
+    return _default_format
+
+
 MAX_DIMS, MAX_VARS, MAX_ATTRS, MAX_NAME = 1024, 8192, 8192, 256
 UNLIMITED = 0
 #: In attribute calls, the dataset itself.
@@ -58,7 +80,7 @@ class Var:
 class Schema:
     """Dimensions, variables and attributes of a dataset, and the mode it is in."""
 
-    version: int = 5
+    version: int = field(default_factory=lambda: _default_format)
     dims: list[Dim] = field(default_factory=list)
     vars: list[Var] = field(default_factory=list)
     attrs: dict[str, Attr] = field(default_factory=dict)
@@ -181,6 +203,28 @@ class Schema:
             "num_rec_vars": records, "num_fix_vars": len(self.vars) - records, "version": self.version,
         }
 
+    def num_rec_vars(self) -> int:
+        return self.inquire()["num_rec_vars"]
+
+    def num_fix_vars(self) -> int:
+        return self.inquire()["num_fix_vars"]
+
+    def header_size(self) -> int:
+        """Bytes of the header."""
+        from gridloom.sources.cdf import header_size
+
+        return header_size(self)
+
+    def header_extent(self, **align: int) -> int:
+        """Bytes before the first variable."""
+        return min(self.layout(**align)[0].values(), default=self.header_size())
+
+    def record_size(self) -> int:
+        return self.layout()[1]
+
+    def var_offset(self, name: str | int) -> int:
+        return self.layout()[0][self.var(name).name]
+
     def inquire_var(self, name: str | int) -> dict:
         v = self.var(name)
         return {"name": v.name, "type": v.kind, "ndims": len(v.dims), "dimids": list(v.dims), "natts": len(v.attrs)}
@@ -361,14 +405,14 @@ def catalog_frames(spark: SparkSession, schema: Schema) -> dict[str, DataFrame]:
         for i, v in enumerate(schema.vars)
     ]
     attrs = [
-        (varid, name, kind, values[0] if kind == "char" else None, None if kind == "char" else [float(x) for x in values])
+        (varid, name, kind, values[0] if kind == "char" else None, None if kind == "char" else [float(x) for x in values], None if kind == "char" else [repr(x) for x in values])
         for varid, held in [(-1, schema.attrs), *[(i, v.attrs) for i, v in enumerate(schema.vars)]]
         for name, (kind, values) in held.items()
     ]
     return {
         "dims": spark.createDataFrame(dims, "dimid int, name string, size long, is_unlimited boolean"),
         "vars": spark.createDataFrame(rows, "varid int, name string, type string, dimids array<int>, shape array<long>, is_record boolean, begin long, vsize long, no_fill boolean"),
-        "attrs": spark.createDataFrame(attrs, "varid int, name string, type string, value_text string, value_num array<double>"),
+        "attrs": spark.createDataFrame(attrs, "varid int, name string, type string, value_text string, value_num array<double>, value_exact array<string>"),
     }
 
 
@@ -403,6 +447,6 @@ def consistency(root: dict[str, DataFrame], other: dict[str, DataFrame]) -> Data
         F.lit("attr").alias("kind"), "name",
         F.when(F.col("type_a").isNull() | F.col("type_b").isNull(), F.lit("NC_EMULTIDEFINE_ATTR_NUM")).when(F.col("type_a") != F.col("type_b"), code("attr_type"))
         .when(~F.size("value_num_a").eqNullSafe(F.size("value_num_b")), code("attr_len"))
-        .when(~(F.col("value_num_a").eqNullSafe(F.col("value_num_b")) & F.col("value_text_a").eqNullSafe(F.col("value_text_b"))), code("attr_val")).alias("code"),
+        .when(~(F.col("value_exact_a").eqNullSafe(F.col("value_exact_b")) & F.col("value_text_a").eqNullSafe(F.col("value_text_b"))), code("attr_val")).alias("code"),
     )
     return dim.unionByName(var).unionByName(attr).filter(F.col("code").isNotNull())

@@ -1,13 +1,18 @@
 """Classic array files, versions 1, 2 and 5: header codec, and a data source that reads and writes variables.
 
 The header is read on the driver; data are read by byte ranges, a partition for each run of whole rows of the first
-axis, and decoded with numpy into Arrow batches. The source prunes partitions by bounds on ``d0`` given as options.
+axis, and decoded with numpy into Arrow batches. :func:`box` reads only the rows of the first axis that a box has, by bounds given as options.
+Filters are not pushed down by Spark's own way: in Spark 4.1.2 those of one query stay with a Python source and thin later queries of the same table.
+
+Data are written in parallel, by each task at the places of its cells, into a file laid out beforehand. That takes a file system that can be
+written at any place and is mounted on every machine.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import prod
@@ -17,10 +22,12 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from gridloom.functions.types import BY_CODE, TYPES
-from gridloom.operators.fill import fill_value
+from gridloom.operators.fill import fill_column, fill_value, grid
+from gridloom.operators.select import validate, vars_
 from gridloom.plans.catalog import Attr, Dataset, Dim, Schema, Var, attr_bytes
 from gridloom.plans.errors import ArrayError
 
@@ -265,7 +272,11 @@ def _to_arrow(flat: np.ndarray, kind: str) -> pa.Array:
 
 
 class CdfSource(DataSource):
-    """``spark.read.format("cdf").option("variable", name).load(path)``: one variable in long form."""
+    """``spark.read.format("cdf").option("variable", name).load(path)``: one variable in long form.
+
+    ``df.write.format("cdf").option("variable", name).option("type", kind).option("shape", "0,20").save(path)`` writes a file
+    of one variable; length 0 of the first axis makes it a record axis, whose length is the option ``records``. Modes: error, overwrite.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -278,6 +289,115 @@ class CdfSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return CdfReader(dict(self.options))
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return CdfWriter(dict(self.options), overwrite)
+
+
+def box(spark: SparkSession, path: str, name: str, start: Sequence[int], count: Sequence[int], stride: Sequence[int] | None = None, **options) -> DataFrame:
+    """A strided box of a variable of a file, re-based; of the first axis only the rows from the box's first to its last are read."""
+    spark.dataSource.register(CdfSource)
+    s = read_header(path).schema
+    validate(s.shape(name), start, count, stride, record=s.is_record(name), numrecs=s.numrecs, version=s.version)
+    if start:
+        first, n = start[0], count[0]
+        options |= {"from": first, "to": first + (n - 1) * (stride[0] if stride else 1) + 1 if n else first}
+    return vars_(spark.read.format("cdf").options(variable=name, **options).load(path), start, count, stride)
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a variable's cells are in a file."""
+
+    path: str
+    kind: str
+    shape: tuple[int, ...]
+    begin: int
+    #: Bytes from one index of the first axis to the next.
+    step: int
+
+    @classmethod
+    def of(cls, schema: Schema, name: str, path: str, begins: dict[str, int], recsize: int) -> Place:
+        kind, shape = schema.var(name).kind, tuple(schema.shape(name))
+        return cls(path, kind, shape, begins[name], recsize if schema.is_record(name) else prod(shape[1:]) * TYPES[kind].size)
+
+    def put(self, batch: pa.RecordBatch) -> None:
+        """Writes the cells (d0.., value) of a batch, each run of neighbouring places at once; a null leaves its place as it is."""
+        batch = batch.filter(batch.column("value").is_valid())
+        n, size = batch.num_rows, TYPES[self.kind].size
+        if not n:
+            return
+        place = np.zeros(n, np.int64)
+        for i in range(1, len(self.shape)):
+            place = place * self.shape[i] + batch.column(f"d{i}").to_numpy()
+        at = self.begin + (batch.column("d0").to_numpy() * self.step if self.shape else 0) + place * size
+        value = batch.column("value")
+        if self.kind == "char":
+            flat = np.array([x.encode("latin-1") for x in value.to_pylist()], "S1")
+        elif self.kind == "uint64":
+            flat = np.array([int(x) for x in value.to_pylist()], ">u8")
+        else:
+            flat = value.to_numpy(zero_copy_only=False).astype(TYPES[self.kind].numpy)
+        order = np.argsort(at, kind="stable")
+        at, flat = at[order], flat[order]
+        ends = np.append(np.flatnonzero(np.diff(at) != size) + 1, n)
+        with open(self.path, "r+b") as f:
+            for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                f.seek(int(at[a]))
+                f.write(flat[a:b].tobytes())
+
+    def put_all(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As ``mapInArrow`` wants it; no rows come out."""
+        for b in batches:
+            self.put(b)
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["done"])
+
+
+def _lay_out(schema: Schema, path: str, **align: int) -> tuple[str, dict[str, int], int]:
+    """A new file of full length beside ``path`` with the header of ``schema`` in it, where variables begin, and the bytes of a record."""
+    begins, recsize = schema.layout(**align)
+    fs, at = _fs(path)
+    if not isinstance(fs, pafs.LocalFileSystem):
+        raise ArrayError("NC_EINVAL", f"{path}: a file system that can be written at any place is needed")
+    fixed = [begins[v.name] + schema.var_bytes(v) for v in schema.vars if not schema.is_record(v.name)]
+    records = [begins[v.name] for v in schema.vars if schema.is_record(v.name)]
+    header = encode_header(schema, begins)
+    end = max([len(header), *fixed, *([min(records) + schema.numrecs * recsize] if records else [])])
+    temporary = f"{at}.{uuid.uuid4().hex}.tmp"
+    with open(temporary, "wb") as f:
+        f.write(header)
+        f.truncate(end)
+    return temporary, begins, recsize
+
+
+class CdfWriter(DataSourceArrowWriter):
+    """Writes a file of one variable: tasks write their cells, the commit gives the file its name, an abort removes it."""
+
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.path = options["path"]
+        if not overwrite and os.path.exists(_fs(self.path)[1]):
+            raise ArrayError("NC_EEXIST", self.path)
+        shape = [int(x) for x in options.get("shape", "").split(",") if x.strip()]
+        schema = Schema(int(options.get("version", 5)))
+        for i, n in enumerate(shape):
+            schema.def_dim(f"d{i}", n)
+        schema.def_var(options["variable"], options.get("type", "double"), list(range(len(shape))))
+        schema.enddef()
+        if shape and shape[0] == 0:
+            schema.numrecs = int(options.get("records", 0))
+        self.temporary, begins, recsize = _lay_out(schema, self.path)
+        self.place = Place.of(schema, options["variable"], self.temporary, begins, recsize)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        for b in iterator:
+            self.place.put(b)
+        return WriterCommitMessage()
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        os.replace(self.temporary, _fs(self.path)[1])
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        os.remove(self.temporary)
+
 
 def open_dataset(spark: SparkSession, path: str, **options) -> Dataset:
     """All variables of a file; nothing but the header is read."""
@@ -288,10 +408,7 @@ def open_dataset(spark: SparkSession, path: str, **options) -> Dataset:
 
 
 def write_dataset(dataset: Dataset, path: str, *, clobber: bool = True, h_align: int = 4, v_align: int = 4, r_align: int = 4) -> None:
-    """Writes a dataset as one classic file.
-
-    A classic file is one byte sequence, so rows reach the writer one sorted partition at a time; only one is held at once.
-    """
+    """Writes a dataset as one classic file: laid out on the driver, filled and written by tasks, then given its name."""
     fs, at = _fs(path)
     if not clobber and fs.get_file_info(at).type != pafs.FileType.NotFound:
         raise ArrayError("NC_EEXIST", path)
@@ -299,44 +416,25 @@ def write_dataset(dataset: Dataset, path: str, *, clobber: bool = True, h_align:
     if schema.defining:
         schema.enddef()
     dataset.sync_numrecs()
-    begins, recsize = schema.layout(h_align, v_align, r_align)
-    temporary = f"{at}.tmp"
+    temporary, begins, recsize = _lay_out(schema, path, h_align=h_align, v_align=v_align, r_align=r_align)
     try:
-        with open(temporary, "wb") as f:
-            f.write(encode_header(schema, begins))
-            for v in schema.vars:
-                _write_variable(f, schema, v, dataset.data.get(v.name), begins[v.name], recsize)
-            end = max([begins[v.name] + (schema.var_bytes(v) if not schema.is_record(v.name) else 0) for v in schema.vars], default=0)
-            if schema.numrecs and recsize:
-                end = max(end, min(begins[v.name] for v in schema.vars if schema.is_record(v.name)) + schema.numrecs * recsize)
-            f.truncate(max(end, f.seek(0, 2)))
+        for v in schema.vars:
+            place, data = Place.of(schema, v.name, temporary, begins, recsize), dataset.data.get(v.name)
+            if not v.no_fill and prod(place.shape) and data is not None:
+                _run(grid(data.sparkSession, place.shape).withColumn("value", fill_column(v.kind, fill_value(v.kind, v.attrs.get("_FillValue")))), place)
+            if data is not None:
+                # Ranges of places, in order, so that a task writes long runs.
+                index = [f"d{i}" for i in range(len(place.shape))]
+                _run(data.repartitionByRange(*index).sortWithinPartitions(*index) if index else data, place)
         os.replace(temporary, at)
     finally:
         if os.path.exists(temporary):  # abort: nothing half-written stays
             os.remove(temporary)
 
 
-def _write_variable(f, schema: Schema, v: Var, data: DataFrame | None, begin: int, recsize: int) -> None:
-    t, shape = TYPES[v.kind], schema.shape(v.name)
-    width = prod(shape[1:])
-    step = recsize if schema.is_record(v.name) else width * t.size
-    if not v.no_fill and prod(shape):
-        fill = fill_value(v.kind, v.attrs.get("_FillValue"))
-        one = np.full(max(width, 1), fill.encode() if v.kind == "char" else fill, t.numpy).tobytes()
-        for r in range(shape[0] if shape else 1):
-            f.seek(begin + r * step)
-            f.write(one)
-    if data is None:
-        return
-    for batch in data.orderBy(*[f"d{i}" for i in range(len(shape))]).toLocalIterator(prefetchPartitions=False) if shape else data.toLocalIterator():
-        place = 0
-        for i in range(1, len(shape)):
-            place = place * shape[i] + batch[f"d{i}"]
-        value = batch["value"]
-        if value is None:
-            continue
-        f.seek(begin + (batch["d0"] if shape else 0) * step + place * t.size)
-        f.write(np.array(value.encode("latin-1") if v.kind == "char" else int(value) if v.kind == "uint64" else value, t.numpy).tobytes())
+def _run(cells: DataFrame, place: Place) -> None:
+    cells = cells.select(*[F.col(f"d{i}").cast("long").alias(f"d{i}") for i in range(len(place.shape))], F.col("value").cast(TYPES[place.kind].spark).alias("value"))
+    cells.mapInArrow(place.put_all, "done long").write.format("noop").mode("overwrite").save()
 
 
 def delete(path: str) -> None:
@@ -381,3 +479,45 @@ def offsets_report(path: str) -> list[dict]:
 def attribute_room(schema: Schema) -> int:
     """Bytes of all attribute values."""
     return sum(attr_bytes(a) for held in [schema.attrs, *[v.attrs for v in schema.vars]] for a in held.values())
+
+
+def validation(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`validate_file` as a table (code, detail); no row means a valid file."""
+    return spark.createDataFrame(validate_file(path), "code string, detail string")
+
+
+def offsets(spark: SparkSession, path: str, numrecs: int = 1) -> DataFrame:
+    """:func:`offsets_report` as a table, with a row for each of the first ``numrecs`` records of a record variable."""
+    recsize = _recsize(read_header(path).schema)
+    rows = []
+    for r in offsets_report(path):
+        for k in range(numrecs if r["record"] else 1):
+            rows.append((r["name"], r["record"], k, r["begin"] + k * recsize, r["end"] + k * recsize, r["size"], r["gap"]))
+    return spark.createDataFrame(rows, "name string, is_record boolean, record long, begin long, end long, size long, gap long")
+
+
+def file_format(path: str) -> int:
+    """The version of a file, from its first bytes alone."""
+    fs, at = _fs(path)
+    if fs.get_file_info(at).type != pafs.FileType.File:
+        raise ArrayError("NC_ENOENT", path)
+    with fs.open_input_file(at) as f:
+        magic = f.read_at(4, 0)
+    if magic[:3] != b"CDF" or magic[3] not in (1, 2, 5):
+        raise ArrayError("NC_ENOTNC", path)
+    return magic[3]
+
+
+def file_info(path: str, **hints) -> dict[str, str]:
+    """What is known of a file and how it is read: sizes, places, and the hints in effect.
+
+    Striping is the file system's own matter here: one file, in ranges of ``partition_bytes``.
+    """
+    header, (fs, at) = read_header(path), _fs(path)
+    begins = header.begins.values()
+    known = {
+        "path": path, "file_size": fs.get_file_info(at).size, "format": header.schema.version, "header_size": header.size, "header_extent": min(begins, default=header.size),
+        "record_size": _recsize(header.schema), "numrecs": header.schema.numrecs, "striping_factor": 1, "striping_unit": hints.get("partition_bytes", 64 << 20),
+        "partition_bytes": 64 << 20, "header_chunk": CHUNK, "h_align": 4, "v_align": 4, "r_align": 4,
+    }
+    return {k: str(v) for k, v in (known | hints).items()}

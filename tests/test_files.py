@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import fill as L
 from gridloom.operators.diff import diff_schema, diff_values
-from gridloom.plans.catalog import Dataset, Schema, catalog_frames, consistency
+from gridloom.functions.types import TYPES
+from gridloom.plans.catalog import Dataset, Schema, catalog_frames, consistency, default_format, lib_version, set_default_format
 from gridloom.plans.errors import ArrayError
 from gridloom.sources import cdf, cdl
 
@@ -157,3 +158,82 @@ def test_consistency(spark):
     found = {(r.kind, r.name, r.code) for r in consistency(catalog_frames(spark, a), catalog_frames(spark, b)).collect()}
     assert found == {("dim", "y", "NC_EMULTIDEFINE_DIM_SIZE"), ("attr", "units", "NC_EMULTIDEFINE_ATTR_VAL")}
     assert consistency(catalog_frames(spark, a), catalog_frames(spark, small())).count() == 0
+
+
+def test_boxes_decide_what_is_read(spark, tmp_path):
+    path = str(tmp_path / "f.nc")
+    s = Schema(5)
+    s.def_dim("y", 1000)
+    s.def_dim("x", 10)
+    s.def_var("v", "int", ["y", "x"])
+    v = L.grid(spark, [1000, 10]).withColumn("value", (F.col("d0") * 10 + F.col("d1")).cast("int"))
+    cdf.write_dataset(Dataset(s, {"v": v}), path)
+    frame = cdf.open_dataset(spark, path, partition_bytes=400).var("v")
+    part = cdf.box(spark, path, "v", [10, 3], [4, 1], [2, 1], partition_bytes=400)
+    assert sorted(map(tuple, part.collect())) == [(k, 0, (10 + 2 * k) * 10 + 3) for k in range(4)]
+    assert part.rdd.getNumPartitions() == 1 and frame.rdd.getNumPartitions() == 100 and cdf.box(spark, path, "v", [5, 0], [0, 10]).count() == 0
+    assert frame.filter("d0 = 7").count() == 10 and frame.count() == 10_000  # one query leaves no trace in the next
+    with pytest.raises(ArrayError, match="NC_EEDGE"):
+        cdf.box(spark, path, "v", [990, 0], [11, 1])
+
+
+@pytest.mark.parametrize("kind", ["byte", "char", "short", "int", "float", "double", "ubyte", "ushort", "uint", "int64", "uint64"])
+def test_tables_are_written_as_files(spark, tmp_path, kind):
+    spark.dataSource.register(cdf.CdfSource)
+    path = str(tmp_path / "w.nc")
+    value = F.chr(F.lit(97) + F.col("d1")) if kind == "char" else F.col("d0") * 10 + F.col("d1")
+    v = L.grid(spark, [12, 7]).withColumn("value", value.cast(TYPES[kind].spark)).filter("d0 <> 5")
+    how = {"variable": "v", "type": kind, "shape": "0,7", "records": "12"}
+    v.repartition(3).write.format("cdf").options(**how).mode("append").save(path)
+    back = cdf.open_dataset(spark, path).var("v")
+    assert diff_values(v, back.filter("d0 <> 5"), 2).count() == 0 and back.count() == 84
+    v.limit(0).write.format("cdf").options(**how).mode("overwrite").save(path)
+    assert cdf.open_dataset(spark, path).var("v").filter("d0 = 3").select("value").distinct().count() == 1
+    assert [f.name for f in tmp_path.iterdir()] == ["w.nc"]
+
+
+def test_a_failed_write_leaves_the_old_file(spark, tmp_path):
+    path = str(tmp_path / "a.nc")
+    cdf.write_dataset(Dataset(small(), data(spark)), path)
+    before = open(path, "rb").read()
+    broken = data(spark) | {"r": spark.range(3).selectExpr("id AS d0", "id AS d1", "raise_error('broken') AS value")}
+    with pytest.raises(Exception, match="broken"):
+        cdf.write_dataset(Dataset(small(), broken), path)
+    assert open(path, "rb").read() == before and [f.name for f in tmp_path.iterdir()] == ["a.nc"]
+
+
+def test_what_files_tell(spark, tmp_path):
+    path = str(tmp_path / "a.nc")
+    s = small(2)
+    cdf.write_dataset(Dataset(s, data(spark)), path, h_align=512)
+    assert cdf.file_format(path) == 2
+    info = cdf.file_info(path, partition_bytes=1 << 20)
+    assert info["header_extent"] == "512" and int(info["header_size"]) == s.header_size() < 512 and info["striping_unit"] == str(1 << 20) and info["numrecs"] == "4"
+    assert s.header_extent(h_align=512) == 512 and s.num_rec_vars() == 2 and s.num_fix_vars() == 3 and s.record_size() == 28 and s.var_offset("a") == s.header_size()
+    assert cdf.validation(spark, path).count() == 0
+    table = cdf.offsets(spark, path, numrecs=4)
+    assert table.filter("name = 'r'").count() == 4 and {r.begin for r in table.filter("name = 'q'").collect()} == {512 + 12 + 4 + 8 + 24 + 28 * k for k in range(4)}
+    open(path, "r+b").write(b"XDF")
+    assert [r.code for r in cdf.validation(spark, path).collect()] == ["NC_ENOTNC"]
+    with pytest.raises(ArrayError, match="NC_ENOTNC"):
+        cdf.file_format(path)
+
+
+def test_default_format():
+    was = set_default_format(2)
+    try:
+        assert was == 5 and Schema().version == 2 and default_format() == 2 and lib_version()
+        with pytest.raises(ArrayError, match="NC_EINVAL"):
+            set_default_format(3)
+    finally:
+        set_default_format(was)
+    assert Schema().version == 5
+
+
+def test_large_integer_attributes_differ(spark):
+    def one(n):
+        s = Schema()
+        s.put_att(None, "n", "int64", [n])
+        return catalog_frames(spark, s)
+
+    assert [r.code for r in consistency(one(2**60), one(2**60 + 1)).collect()] == ["NC_EMULTIDEFINE_ATTR_VAL"] and consistency(one(2**60), one(2**60)).count() == 0
