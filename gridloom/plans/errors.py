@@ -70,6 +70,10 @@ class ArrayError(Exception):
         super().__init__(f"{name}: {ERRORS[name][1]}{': ' + detail if detail else ''}")
 
 
+class StallError(RuntimeError):
+    """Nothing moved for longer than a wait may last."""
+
+
 class OverlapError(ArrayError):
     def __init__(self, detail: str):
         super().__init__("NC_EINVAL", detail)

@@ -7,6 +7,7 @@ batch writes its tables under its own number, so a batch that is run again after
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.operators.boxes import coverage
-from gridloom.plans.couple import announced, match_plan, reads
+from gridloom.plans.couple import announced, match_plan, reads, written_gate
+from gridloom.plans.errors import StallError
 
 
 def drop_late(requests: DataFrame, committed: int) -> tuple[DataFrame, DataFrame]:
@@ -63,11 +65,43 @@ def pending(spark: SparkSession, state: str, number: int) -> DataFrame:
     return spark.read.parquet(f"{state}/pending/{number}")
 
 
-def written_gate(spark: SparkSession, path: str) -> bool:
-    """File mode: whether a writer has finished, by the success mark of its directory."""
-    jvm = spark.sparkContext._jvm
-    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(mark)
+def wait_until(moved: Callable[[], object], done: Callable[[], bool], timeout: float = 180.0, poll: float = 0.5, ignore: bool = False) -> bool:
+    """Waits until ``done``; if ``moved`` gives the same for longer than ``timeout``, it stalls: an error, or False with ``ignore``."""
+    last, since = moved(), time.monotonic()
+    while not done():
+        now = moved()
+        if now != last:
+            last, since = now, time.monotonic()
+        elif time.monotonic() - since > timeout:
+            if ignore:
+                return False
+            raise StallError(f"nothing moved for {timeout:g} s")
+        time.sleep(poll)
+    return True
+
+
+def await_written(spark: SparkSession, path: str, timeout: float = 180.0, poll: float = 0.5, ignore: bool = False) -> bool:
+    """File mode: waits for a writer to finish."""
+    return wait_until(lambda: None, lambda: written_gate(spark, path), timeout, poll, ignore)
+
+
+def await_complete(query: StreamingQuery, state: str, timeout: float = 180.0, poll: float = 0.5, ignore: bool = False) -> bool:
+    """Waits until a stream of transfers has no open request left; if it stalls, the stream is stopped."""
+    spark, seen = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.getActiveSession(), {"batch": -1, "open": 1}
+
+    def batch() -> int:
+        return query.lastProgress["batchId"] if query.lastProgress else -1
+
+    def done() -> bool:
+        if (now := batch()) != seen["batch"] and now >= 0 and written_gate(spark, f"{state}/pending/{now}"):
+            seen.update(batch=now, open=pending(spark, state, now).count())
+        return seen["open"] == 0
+
+    try:
+        return wait_until(lambda: (seen["batch"], seen["open"]), done, timeout, poll, ignore)
+    except StallError:
+        query.stop()
+        raise
 
 
 def record_counts(records: DataFrame, at: str = "ts", delay: str = "1 hour", window: str = "1 day") -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import fill as L
 from gridloom.plans import couple as C
 from gridloom.plans.catalog import Dataset, Schema
-from gridloom.plans.errors import ArrayError
+from gridloom.plans.errors import ArrayError, StallError
 from gridloom.plans.requests import ALL_GETS, RequestQueue, record_requests
 from gridloom.streaming import exchange as X
 
@@ -166,3 +166,116 @@ def test_request_queue(spark):
 def test_record_requests(spark):
     df = spark.createDataFrame([(1, 3, 2, 0, 4), (2, 0, 0, 0, 4)], "req_id long, s0 long, c0 long, s1 long, c1 long")
     assert sorted((r.req_id, r.s0, r.c0) for r in record_requests(df).collect()) == [(1, 3, 1), (1, 4, 1)]
+
+
+def test_replay_of_a_changed_pattern(spark):
+    """Reads that were not there when the pattern was recorded are matched anew."""
+    log = requests(spark, (0, 1)).unionByName(spark.createDataFrame([("new", "reader", 5, 0, "r", 1, 9, 1, 0, 3, 2)], SCHEMA))
+    c = C.Coupler(spark, C.parse_config(CONFIG), "writer")
+    c.transfer("wave.nc", log, cells(spark, log), 2)
+    second = c.transfer("wave.nc", log, cells(spark, log), 2)
+    assert second.incomplete().count() == 0 and second.delivered.filter("r_id = 'new'").count() == 6
+    assert {tuple(r) for r in second.plan.collect()} == {tuple(r) for r in C.match_plan(log.filter("epoch = 1"), 2).collect()}
+
+
+def test_of_differing_announcements_the_newest_counts(spark):
+    a = requests(spark).filter("req_id = 'r0'")
+    log = a.unionByName(a.withColumns({"seq": F.lit(11).cast("long"), "c0": F.lit(1).cast("long")})).unionByName(a)
+    assert [(r.seq, r.c0) for r in C.announced(log).collect()] == [(11, 1)] and C.announced(log).columns == log.columns
+
+
+def test_epochs_until_the_reader_is_done(spark, tmp_path):
+    config = C.parse_config(CONFIG.replace("[INFO]", "[INFO]\nlog_ioreqs = 1", 1))
+    writer, reader = (C.Coupler(spark, config, c, str(tmp_path)) for c in ("writer", "reader"))
+    log = requests(spark, range(3))
+
+    def served(k, out):
+        assert out.incomplete().count() == 0
+        if k == 1:
+            reader.complete_multiple("wave.nc")
+
+    assert writer.transfer_multiple("wave.nc", lambda k: (log, cells(spark, log)), 2, served) == 2
+    with pytest.raises(C.ConfigError):
+        writer.complete_multiple("wave.nc")
+    with pytest.raises(C.ConfigError):  # a component that writes nothing
+        C.Coupler(spark, config, "reader", str(tmp_path / "other")).transfer_multiple("wave.nc", lambda k: (log, cells(spark, log)), 2)
+    with pytest.raises(StallError):
+        C.Coupler(spark, config, "writer", str(tmp_path / "other")).transfer_multiple("wave.nc", lambda k: None, 2, timeout=0.3)
+    audit = writer.audit()
+    assert audit.count() == 12 and {(r.dataset, r.epoch) for r in audit.collect()} == {("wave.nc", 0), ("wave.nc", 1)}
+    times = {r.what: (r.calls, r.seconds) for r in writer.finalize().collect()}
+    assert times["transfer wave.nc"][0] == 2 and times["finalize"][1] >= 0
+    assert reader.peer_finished("wave.nc") and not writer.peer_finished("wave.nc") and reader.audit().count() == 0
+    with pytest.raises(C.ConfigError):
+        writer.transfer("wave.nc", log, cells(spark, log), 2)
+    with pytest.raises(C.ConfigError):
+        writer.finalize()
+    assert reader.transfer_multiple("wave.nc", lambda k: None, 2) == 0  # the peer has ended
+
+
+def test_stalls(spark, tmp_path):
+    assert X.wait_until(lambda: 0, lambda: True)
+    with pytest.raises(StallError):
+        X.wait_until(lambda: 0, lambda: False, 0.2, 0.05)
+    steps = iter(range(100))
+    assert X.wait_until(lambda: next(steps), lambda: next(steps) > 10, 0.2, 0.01)
+    assert not X.await_written(spark, str(tmp_path / "never"), 0.2, 0.05, ignore=True)
+    source, whole = tmp_path / "in", requests(spark, (0,))
+    source.mkdir()
+    whole.filter("req_id <> 'w0-3'").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(whole.schema).parquet(str(source))
+    state = str(tmp_path / "state")
+    q = X.stream_transfers(stream, 2, state, str(tmp_path / "check"), available_now=False)
+    with pytest.raises(StallError):
+        X.await_complete(q, state, timeout=12, poll=0.2)
+    assert not q.isActive
+    c = C.Coupler(spark, C.parse_config(CONFIG), "writer")
+    q = c.watch(X.stream_transfers(stream, 2, state, str(tmp_path / "check"), available_now=False))
+    whole.filter("req_id = 'w0-3'").coalesce(1).write.mode("append").parquet(str(source))
+    assert X.await_complete(q, state, timeout=60, poll=0.2)
+    c.finalize()
+    assert not q.isActive
+
+
+def test_schema_hand_off(spark):
+    s = Schema(2)
+    s.def_dim("t", 0)
+    s.def_dim("x", 4)
+    s.def_var("v", "int", ["t", "x"])
+    s.put_att("v", "units", "char", "K")
+    s.enddef()
+    s.numrecs = 3
+    got = C.schema_of(C.schema_frame(spark, "wave.nc", s), "wave.nc")
+    assert got.shape("v") == [3, 4] and got.get_att("v", "units") == "K" and got.version == 2
+    with pytest.raises(ArrayError, match="NC_ENOENT"):
+        C.schema_of(C.schema_frame(spark, "wave.nc", s), "other")
+
+
+def test_requests_in_define_mode_and_in_other_layouts(spark):
+    s = Schema()
+    s.def_dim("y", 3)
+    s.def_dim("x", 4)
+    s.def_var("v", "int", ["y", "x"])
+    d = Dataset(s, {"v": L.grid(spark, [3, 4]).withColumn("value", (F.col("d0") * 4 + F.col("d1")).cast("int"))})
+    q = RequestQueue(d)
+    turned = q.iget("v", [0, 0], [3, 4], imap=[1, 3])
+    wrong = q.iget("v", [9, 0], [1, 1])
+    one = q.iget1("v", [2, 3])
+    with pytest.raises(ArrayError, match="NC_EINDEFINE"):
+        q.wait()
+    s.enddef()
+    reads, status = q.wait()
+    assert status == {turned: "NC_NOERR", wrong: "NC_EINVALCOORDS", one: "NC_NOERR"} and q.count() == 0
+    got = {(r.req_id, r.place): r.value for r in reads.collect()}
+    assert [got[turned, k] for k in range(12)] == [0, 4, 8, 1, 5, 9, 2, 6, 10, 3, 7, 11] and got[one, 0] == 11 and len(got) == 13
+    values = spark.range(6).selectExpr("id AS place", "CAST(-id AS INT) AS value")
+    q.attach(24)
+    q.bput_n("v", values, [[0, 0], [0, 1], [2, 3]], [[1, 2], [1, 3], None])
+    assert q.usage() == 24
+    q.iput("v", spark.range(4).selectExpr("id AS place", "CAST(90 + id AS INT) AS value"), [1, 0], [2, 2], imap=[1, 2])
+    q.iput1("v", [1, 3], 77)
+    q.wait()
+    rows = [[0] * 4 for _ in range(3)]
+    for r in d.var("v").collect():
+        rows[r.d0][r.d1] = r.value
+    assert rows == [[0, -2, -3, -4], [90, 92, 6, 77], [91, 93, 10, -5]]
