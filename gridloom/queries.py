@@ -17,7 +17,7 @@ from gridloom.operators.chunks import chunk_box as chunk_select
 from gridloom.operators.chunks import reshape, to_chunks
 from gridloom.operators.diff import diff_summary, diff_values
 from gridloom.plans import couple as C
-from gridloom.plans.catalog import Schema, catalog_frames, consistency
+from gridloom.plans.catalog import Dataset, Schema, catalog_frames, consistency
 from gridloom.streaming.exchange import drop_late
 from gridloom.tables import embeddings, orders_1d, orders_grid, table, tiles
 
@@ -74,7 +74,7 @@ def sel_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.vars_(orders_grid(spark, sf_dir), [1, 5], [4, 30], [3, 2])
 
 
-@query(f"SELECT d0, d1, d1 * 500 + d0 AS m, value FROM {_EMB} WHERE d0 < 500")
+@query(f"SELECT d0, d1, d1 * (SELECT count(*) FROM embeddings) + d0 AS m, value FROM {_EMB}")
 def sel_varm_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written in the order of axes 1, 0: the index map of the whole transposed buffer."""
     n = table(spark, sf_dir, "embeddings").count()
@@ -102,7 +102,7 @@ def sel_varn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.varn(orders_grid(spark, sf_dir), starts, counts)
 
 
-@query(f"SELECT d0, d1, d0 * 100 + d1 AS place, value FROM {_GRID} WHERE (d0 * 100 + d1) % 7 = 0 AND d0 * 100 + d1 < 1400")
+@query(f"SELECT d0, d1, d0 * 100 + d1 AS place, value FROM {_GRID} WHERE (d0 * 100 + d1) % 7 = 0")
 def sel_vard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh place, to the grid's end."""
     places = spark.range(0, _rows(spark, sf_dir) * 100, 7).select(F.col("id").alias("place"))
@@ -116,7 +116,7 @@ def sel_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.many([(0, S.vara(g, [1, 0], [1, 100])), (1, S.vara(g, [3, 50], [2, 50]))])
 
 
-@query(f"SELECT d0, d1, CASE WHEN d0 BETWEEN 1 AND 2 AND d1 BETWEEN 0 AND 9 THEN -1.0 WHEN d0 BETWEEN 0 AND 1 AND d1 BETWEEN 5 AND 19 THEN -2.0 ELSE value END AS value FROM {_GRID} WHERE d0 < 8")
+@query(f"SELECT d0, d1, CASE WHEN d0 BETWEEN 1 AND 2 AND d1 BETWEEN 0 AND 9 THEN -1.0 WHEN d0 BETWEEN 0 AND 1 AND d1 BETWEEN 5 AND 19 THEN -2.0 ELSE value END AS value FROM {_GRID}")
 def put_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two writes that overlap, the later one (seq 2) counting."""
     g = orders_grid(spark, sf_dir)
@@ -238,7 +238,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.coverage(reads, B.box_join(reads, writes.filter("id % 5 <> 0"), 2), 2)
 
 
-@query(f"SELECT p.k AS point_id, w.id AS box_id FROM (SELECT o_orderkey AS k, o_orderkey // 100 AS d0, o_orderkey % 100 AS d1 FROM orders WHERE o_orderkey % 13 = 0) p JOIN {_TILE.format(h=7, w=11)} w ON d0 >= s0 AND d0 < s0 + c0 AND d1 >= s1 AND d1 < s1 + c1")
+@query(f"SELECT p.k AS point_id, w.id AS box_id FROM (SELECT o_orderkey AS k, o_orderkey // 100 AS d0, o_orderkey % 100 AS d1 FROM orders) p JOIN {_TILE.format(h=7, w=11)} w ON d0 >= s0 AND d0 < s0 + c0 AND d1 >= s1 AND d1 < s1 + c1")
 def point_stab(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = orders_grid(spark, sf_dir).select(linear([F.col("d0"), F.col("d1")], [0, 100]).alias("id"), "d0", "d1")
     return B.stab(points, _tilings(spark, sf_dir)[1], 2)
@@ -291,7 +291,8 @@ def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, max(event_id) + 1 AS numrecs FROM events GROUP BY event_type")
 def numrecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg((F.max("event_id") + 1).alias("numrecs"))
+    """Each event type as a record variable."""
+    return R.numrecs(table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("d0")), by=["event_type"])
 
 
 @query("""SELECT event_type AS component, CAST(round(sum(value), 2) AS DOUBLE) AS total, CAST(round(avg(value), 6) AS DOUBLE) AS mean, CAST(round(stddev_pop(value), 6) AS DOUBLE) AS spread, max(value) AS most
@@ -395,11 +396,15 @@ def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v(name, vsize) AS (VALUES ('a', 8), ('b', 96), ('r', 12)), l AS (SELECT name, vsize, 220 + CAST(coalesce(sum(vsize) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "begin" FROM v)
   SELECT name, "begin", "begin" + vsize AS "end", CAST(vsize AS BIGINT) AS vsize, coalesce("begin" - lag("begin" + vsize) OVER (ORDER BY "begin"), 0) AS gap FROM l""")
 def offsets_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout of a declared schema: where variables begin and end, and the gaps between."""
-    from pyspark.sql import Window as W
-
-    v = catalog_frames(spark, _schema())["vars"].select("name", "begin", (F.col("begin") + F.col("vsize")).alias("end"), "vsize")
-    return v.withColumn("gap", F.coalesce(F.col("begin") - F.lag("end").over(W.orderBy("begin")), F.lit(0)))  # rows of a catalog: bounded by the format
+    """Layout of a file with a declared schema: where variables begin and end, and the gaps between."""
+    from gridloom.queries_exchange import scratch
+    from gridloom.sources import cdf
+
+    path = f"{scratch(spark)}.nc"
+    cdf.write_dataset(Dataset(_schema(), {}), path)
+    found = cdf.offsets(spark, path).select("name", "begin", "end", F.col("size").alias("vsize"), "gap")
+    cdf.delete(path)
+    return found
 
 
 @query("SELECT event_id, CAST(day(ts) AS BIGINT) AS epoch, value FROM events WHERE day(ts) > 20")
