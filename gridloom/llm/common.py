@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import string
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 #: White space of every contract here: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -75,6 +77,19 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+#: Rows in a batch for Python: texts are long rows, and a batch is held several times over.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches that bound a worker's memory, unless the session has chosen a size of its own."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH) == "10000":  # Spark's own
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

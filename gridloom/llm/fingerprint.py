@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions
+from gridloom.llm.common import in_arrow, partitions
 
 #: Cells of the fingerprint that is returned, and by how much a retry is larger.
 CELLS, GROWTH = 24, 4
@@ -238,4 +238,4 @@ def fingerprint_report(docs: DataFrame, slice_rows: int = 256, slice_chars: int
                     yield judged(held)
                     held, chars = held[-1:], len(text)
 
-    return neighbours(docs).mapInArrow(run, _SCHEMA)
+    return in_arrow(neighbours(docs), run, _SCHEMA)

@@ -23,6 +23,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridloom.llm.common import in_arrow
+
 _MARKUP = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
     r"|</\s*(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
@@ -261,4 +263,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return in_arrow(pages.select("page_id", "url", "html"), run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.llm.common import discard, settled
+from gridloom.llm.common import discard, in_arrow, settled
 from gridloom.llm.graph import components
 
 
@@ -126,9 +126,9 @@ def frequencies(docs: DataFrame, s: Settings) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
-    parts = texts.coalesce(_COUNT_TASKS).mapInArrow(count, schema)
+    parts = in_arrow(texts.coalesce(_COUNT_TASKS), count, schema)
     n = max(1, size // _BLOCK)
-    rows = parts.repartitionById(min(n, 64), F.col("block") % min(n, 64)).mapInArrow(add, schema).collect()  # 2 ** bits numbers
+    rows = in_arrow(parts.repartitionById(min(n, 64), F.col("block") % min(n, 64)), add, schema).collect()  # 2 ** bits numbers
     out = np.zeros(size, np.int64)
     width = min(_BLOCK, size)
     for r in rows:
@@ -161,7 +161,7 @@ def prefixes(docs: DataFrame, s: Settings, carried: tuple[str, ...] = ()) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), *told, lists, *b.columns[2:]], ["doc_id", "n", *names, "prefix", *carried])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>" + "".join(f", {c} long" for c in carried)
-    rows = settled(docs.select("doc_id", "text", *carried).mapInArrow(run, schema))
+    rows = settled(in_arrow(docs.select("doc_id", "text", *carried), run, schema))
     # Different sets with the same first 64 bits: none is expected below some 10**9 documents, few beyond.
     clash = rows.groupBy("s1").agg(F.min("s2").alias("_lo"), F.max("s2").alias("_hi")).filter("_lo <> _hi").select(F.col("s1").alias("_s1"))
     if clash.isEmpty():
@@ -205,7 +205,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
                 names = [pa.array(np.ascontiguousarray(two[:, k])) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*names, pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["s1", "s2", "shingles"])
 
-    found = hashed.mapInArrow(run, "s1 long, s2 long, shingles binary")
+    found = in_arrow(hashed, run, "s1 long, s2 long, shingles binary")
     return settled(found.join(wanted.select("sid", "s1", "s2"), ["s1", "s2"]).select("sid", "shingles").dropDuplicates(["sid"]))
 
 
@@ -234,7 +234,7 @@ def _verify(docs: DataFrame, items: DataFrame, pairs: DataFrame, s: Settings) ->
     sets = _sets(docs, wanted, s)
     a = sets.select(F.col("sid").alias("u"), F.col("shingles").alias("x"))
     b = sets.select(F.col("sid").alias("v"), F.col("shingles").alias("y"))
-    links = settled(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long"))
+    links = settled(in_arrow(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y"), run, "u long, v long"))
     discard(sets, wanted, pairs)
     return links
 
@@ -272,7 +272,7 @@ def _deltas(buckets: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     leaders = sets.join(buckets.select(F.col("b").alias("sid")).distinct(), "sid", "left_semi")
     leaders = leaders.select(F.col("sid").alias("b"), F.col("shingles").alias("bs"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
     members = buckets.join(sets.select(F.col("sid").alias("x"), F.col("shingles").alias("xs")), "x").withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(_SALTS)).cast("int"))
-    return settled(members.join(leaders, ["b", "salt"]).select("b", "x", "l", "lb", "xs", "bs").mapInArrow(run, "b long, x long, l long, n long, near boolean, delta array<long>"))
+    return settled(in_arrow(members.join(leaders, ["b", "salt"]).select("b", "x", "l", "lb", "xs", "bs"), run, "b long, x long, l long, n long, near boolean, delta array<long>"))
 
 
 def _meet(deltas: DataFrame, s: Settings) -> DataFrame:
@@ -307,7 +307,7 @@ def _close(pairs: DataFrame, deltas: DataFrame, s: Settings) -> DataFrame:
 
     one = deltas.select("b", F.col("x").alias("u"), F.col("n").alias("n1"), F.col("delta").alias("d1"))
     two = deltas.select("b", F.col("x").alias("v"), F.col("n").alias("n2"), F.col("delta").alias("d2"))
-    return settled(pairs.join(one, ["b", "u"]).join(two, ["b", "v"]).select("u", "v", "n1", "n2", "d1", "d2").mapInArrow(run, "u long, v long"))
+    return settled(in_arrow(pairs.join(one, ["b", "u"]).join(two, ["b", "v"]).select("u", "v", "n1", "n2", "d1", "d2"), run, "u long, v long"))
 
 
 def _merged(buckets: DataFrame) -> DataFrame:

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import in_arrow
+
 #: Words with the space before them, and line ends. They make up a text unless it has other white space, or runs of it.
 _PARTS = re.compile(r" ?\S+|\n")
 _STARTS = re.compile(r"(?= \S)")
@@ -283,4 +285,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         yield out()
 
     schema = ", ".join(f"{n} long" for n in _FIELDS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, schema)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import in_arrow
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -55,7 +57,7 @@ def featurizer(settings: Settings) -> Callable[[str], np.ndarray]:
     known: dict[str, tuple[int, ...]] = {}
 
     def hashes(word: str) -> tuple[int, ...]:
-        if len(known) > 200_000:
+        if len(known) > 50_000:
             known.clear()
         own = known[word] = tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) + (k << 32) for k, p in enumerate([word, *[word[:n] for n in settings.stems]]))
         return own
@@ -116,12 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         full = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(w[full], pa.float64())], ["place", "weight"])
 
-    featured = seen.mapInArrow(features, "_order long, _id long, _y long, _x binary")
+    featured = in_arrow(seen, features, "_order long, _id long, _y long, _x binary")
     # Of rows that repeat an id, one is learned from: the sample stays within its bound.
     featured = featured.groupBy("_order", "_id", "_y").agg(F.min("_x").alias("_x"))
     turns = featured.withColumn("_epoch", F.explode(F.array(*[F.lit(e) for e in range(settings.epochs)])))
     ordered = turns.repartition(1).sortWithinPartitions("_epoch", "_order", "_id").select("_x", "_y")
-    model = ordered.mapInArrow(fit, "place long, weight double").toPandas()
+    model = in_arrow(ordered, fit, "place long, weight double").toPandas()
     bias = model.loc[model.place == 1 << settings.bits, "weight"].sum()
     model = model[model.place < 1 << settings.bits]
     return model.place.to_numpy(), model.weight.to_numpy(), float(bias)
@@ -150,7 +152,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    scored = in_arrow(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
 
 
@@ -164,4 +166,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
             texts = b.column(b.schema.get_field_index("text"))
             yield b.filter(pa.array([of(t.as_py()) < settings.threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

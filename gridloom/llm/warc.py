@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import settled, shared_dir
+from gridloom.llm.common import in_arrow, settled, shared_dir
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -238,7 +238,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 32
         paths, ns, sizes = zip(*done, strict=True) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(ns, pa.int64()), pa.array(sizes, pa.int64())], ["path", "records", "bytes"])
 
-    return settled(told.mapInArrow(run, "path string, records long, bytes long"))
+    return settled(in_arrow(told, run, "path string, records long, bytes long"))
 
 
 _SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, gap_start long, gap_end long, gap_reason string"
@@ -269,7 +269,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return manifest.select("path").mapInArrow(run, _SCHEMA)
+    return in_arrow(manifest.select("path"), run, _SCHEMA)
 
 
 def warc_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
