@@ -35,35 +35,40 @@ def _class(length: Column) -> Column:
 
 def _grid(r: DataFrame, w: DataFrame, ndims: int) -> tuple[list[int], list[list[int]], list[list[int]]]:
     """The axes of the grid, and the classes that reads and writes have on each; a handful of numbers from one pass over both."""
-    told = []
-    for df, p in ((r, "r_"), (w, "w_")):
-        row = [F.count("*").alias("n")]
-        for i in range(ndims):
-            s, c = F.col(f"{p}s{i}"), F.col(f"{p}c{i}")
-            row += [F.min(s).alias(f"lo{i}"), F.max(s + c).alias(f"hi{i}"), F.sum(c.cast("double")).alias(f"sum{i}"), F.sort_array(F.collect_set(_class(c))).alias(f"k{i}")]
-        told.append(df.agg(*row))
-    a, b = (x.first() for x in told)
-    n = max((a["n"] or 0) + (b["n"] or 0), 1)
+    sides = [df.select(F.lit(p).alias("side"), *[F.col(f"{p}{x}{i}").alias(f"{x}{i}") for x in "sc" for i in range(ndims)]) for df, p in ((r, "r_"), (w, "w_"))]
+    row = [F.count("*").alias("n")]
+    for i in range(ndims):
+        s, c = F.col(f"s{i}"), F.col(f"c{i}")
+        # Classes as bits of a number.
+        row += [F.min(s).alias(f"lo{i}"), F.max(s + c).alias(f"hi{i}"), F.sum(c.cast("double")).alias(f"sum{i}"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _class(c))).alias(f"k{i}")]
+    told = {x["side"]: x for x in sides[0].unionByName(sides[1]).groupBy("side").agg(*row).collect()}
+    n = sum(x["n"] for x in told.values())
     parts = []
     for i in range(ndims):
-        ends = [x for row in (a, b) for x in (row[f"lo{i}"], row[f"hi{i}"]) if x is not None]
-        extent = max(ends) - min(ends) if ends else 1
-        parts.append((((a[f"sum{i}"] or 0) + (b[f"sum{i}"] or 0)) / n / max(extent, 1), i))
+        extent = max([x[f"hi{i}"] for x in told.values()], default=1) - min([x[f"lo{i}"] for x in told.values()], default=0)
+        parts.append((sum(x[f"sum{i}"] for x in told.values()) / max(n, 1) / max(extent, 1), i))
     parts.sort()
     axes = [i for part, i in parts[:GRID_AXES] if part <= LONGEST] or [parts[0][1]]
-    return axes, [a[f"k{i}"] for i in axes], [b[f"k{i}"] for i in axes]
+    classes = lambda side, i: [k for k in range(64) if side in told and told[side][f"k{i}"] >> k & 1]
+    return axes, [classes("r_", i) for i in axes], [classes("w_", i) for i in axes]
 
 
-def _spread(df: DataFrame, p: str, axes: Sequence[int], others: Sequence[Sequence[int]]) -> DataFrame:
+def _spread(df: DataFrame, p: str, axes: Sequence[int], others: Sequence[Sequence[int]], owns: Sequence[Sequence[int]]) -> DataFrame:
     """Every box in the cells, as wide as its class or a higher one of the other side, that it touches."""
-    for i, other in zip(axes, others, strict=True):
-        own = F.col(f"{p}k{i}")
-        higher = F.filter(F.array(*[F.lit(k) for k in other]).cast("array<int>"), lambda k: k > own)
-        here = F.when(F.lit(min(other, default=99)) <= own, F.array(own)).otherwise(F.array().cast("array<int>"))
+    for i, other, mine in zip(axes, others, owns, strict=True):
         s, e = F.col(f"{p}s{i}"), F.col(f"{p}s{i}") + F.col(f"{p}c{i}") - 1
-        df = df.withColumn(f"{p}k{i}", _class(F.col(f"{p}c{i}"))).withColumn(f"_m{i}", F.explode(F.concat(here, higher)))
-        df = df.withColumn(f"_b{i}", F.explode(F.sequence(F.call_function("shiftright", s, 2 * F.col(f"_m{i}")), F.call_function("shiftright", e, 2 * F.col(f"_m{i}")))))
-    return df
+        if mine and other and max(mine) <= min(other) and len(other) == 1:  # all meet in cells of one width
+            level = F.lit(other[0])
+        elif mine and other and max(other) <= min(mine) and len(mine) == 1:
+            level = F.lit(mine[0])
+        else:
+            own = _class(F.col(f"{p}c{i}"))
+            higher = F.filter(F.array(*[F.lit(k) for k in other]).cast("array<int>"), lambda k: k > own)  # noqa: B023
+            here = F.when(F.lit(min(other, default=99)) <= own, F.array(own)).otherwise(F.array().cast("array<int>"))
+            df = df.withColumn("_m", F.explode(F.concat(here, higher)))
+            level = F.col("_m")
+        df = df.withColumn(f"_m{i}", level).withColumn(f"_b{i}", F.explode(F.sequence(F.call_function("shiftright", s, 2 * level), F.call_function("shiftright", e, 2 * level))))
+    return df.drop("_m")
 
 
 def _met(r: DataFrame, w: DataFrame, ndims: int, on: Sequence[str] = (), width: int | None = None) -> tuple[DataFrame, list[Column], list[Column]]:
@@ -80,10 +85,11 @@ def _met(r: DataFrame, w: DataFrame, ndims: int, on: Sequence[str] = (), width:
         at = lambda df, p: df.withColumn("_b", F.explode(F.sequence(_div(F.col(f"{p}s0"), width), _div(F.col(f"{p}s0") + F.col(f"{p}c0") - 1, width))))
         return at(r, "r_").join(at(w, "w_"), [*on, "_b"]).filter(hit & (F.col("_b") == _div(lo[0], width))), lo, hi
     axes, of_r, of_w = _grid(r, w, ndims)
-    classed = lambda df, p: df.withColumns({f"{p}k{i}": _class(F.col(f"{p}c{i}")) for i in axes})
-    r, w = _spread(classed(r, "r_"), "r_", axes, of_w), _spread(classed(w, "w_"), "w_", axes, of_r)
-    for i in axes:  # in cells as wide as the longer one's class, and there where the overlap begins
-        hit = hit & (F.col(f"_m{i}") == F.greatest(f"r_k{i}", f"w_k{i}")) & (F.col(f"_b{i}") == F.call_function("shiftright", lo[i], 2 * F.col(f"_m{i}")))
+    r, w = _spread(r, "r_", axes, of_w, of_r), _spread(w, "w_", axes, of_r, of_w)
+    for i, a, b in zip(axes, of_r, of_w, strict=True):  # in cells as wide as the longer one's class, and there where the overlap begins
+        if len(a) > 1 or len(b) > 1:
+            hit = hit & (F.col(f"_m{i}") == F.greatest(_class(F.col(f"r_c{i}")), _class(F.col(f"w_c{i}"))))
+        hit = hit & (F.col(f"_b{i}") == F.call_function("shiftright", lo[i], 2 * F.col(f"_m{i}")))
     return r.join(w, [*on, *[f"_{x}{i}" for i in axes for x in "mb"]]).filter(hit), lo, hi
 
 

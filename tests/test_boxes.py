@@ -40,8 +40,7 @@ def candidates(spark, reads, writes, ndims):
     named = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
     r, w = named(reads, "r_"), named(writes, "w_")
     axes, of_r, of_w = B._grid(r, w, ndims)
-    classed = lambda df, p: df.withColumns({f"{p}k{i}": B._class(F.col(f"{p}c{i}")) for i in axes})
-    a, b = B._spread(classed(r, "r_"), "r_", axes, of_w), B._spread(classed(w, "w_"), "w_", axes, of_r)
+    a, b = B._spread(r, "r_", axes, of_w, of_r), B._spread(w, "w_", axes, of_r, of_w)
     return a.join(b, [f"_{x}{i}" for i in axes for x in "mb"]).count(), a.count() + b.count()
 
 
