@@ -18,6 +18,7 @@ from gridloom.llm import toxicity as tx
 from gridloom.llm import warc
 from gridloom.llm.graph import components
 from gridloom.llm.html_extract import extract, main_text
+from gridloom.llm.pii import pii_report
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -432,3 +433,21 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# rows that are there twice
+
+
+def test_repeated_rows(spark):
+    text = "Mail a@b.example now. " + prose(random.Random(6), 50)
+    twice = docs(spark, [text, text, "other"], [1, 1, 2])
+    rows = [r for r in pk.pack_documents(twice, VOCABULARY).collect() if r.start == 0]
+    assert sorted(r.doc_id for r in rows) == [1, 1, 2] and len({r.doc_tokens for r in rows if r.doc_id == 1}) == 1
+    assert [r.spans for r in pii_report(twice).collect() if r.doc_id == 1] == ["email:5:16"] * 2
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    scored = tx.score(twice.unionByName(docs(spark, ["x"], [None])), labels).collect()
+    assert len(scored) == 4 and len({r.score for r in scored if r.doc_id == 1}) == 1 and not next(r for r in scored if r.doc_id is None).held_out
+    pages = spark.createDataFrame([(1, "u", PAGE), (1, "v", PAGE), (2, "w", PAGE), (2, "w", PAGE), (3, "x", None), (3, "x", None)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.url, r.n_chars > 0) for r in extract(pages).collect()) == [(1, "u", True), (1, "v", True), (2, "w", True), (2, "w", True), (3, "x", False), (3, "x", False)]
+    told = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.warc_report(pages).collect())
+    assert told == [(1, "response", None)] * 2 + [(2, "revisit", 1)] * 2 + [(3, "response", None)] * 2
