@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -451,3 +452,37 @@ def test_repeated_rows(spark):
     assert sorted((r.page_id, r.url, r.n_chars > 0) for r in extract(pages).collect()) == [(1, "u", True), (1, "v", True), (2, "w", True), (2, "w", True), (3, "x", False), (3, "x", False)]
     told = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.warc_report(pages).collect())
     assert told == [(1, "response", None)] * 2 + [(2, "revisit", 1)] * 2 + [(3, "response", None)] * 2
+
+
+def test_training_against_plain_ftrl(spark):
+    """Weights one by one, feature by feature, in the order of the sample."""
+    rnd = random.Random(9)
+    s = tx.Settings(bits=9, max_rows=25, epochs=3, l1=0.3, l2=0.1, alpha=0.5, beta=1.5, toxic_weight=2.0)
+    texts = [prose(rnd, rnd.randrange(1, 12)) for _ in range(60)]
+    toxic = {k: rnd.randrange(2) for k in range(60)}
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    order = labels.filter(~tx.held_out(F.col("doc_id"))).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(s.max_rows).collect()
+    assert len(order) == s.max_rows and all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in order)
+    z, n, places = {}, {}, tx.featurizer(s)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else s.l1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for r in order:
+            features = [*sorted(set(places(texts[r.doc_id]).tolist())), "bias"]
+            w = {i: weight(i) for i in features}
+            y = toxic[r.doc_id]
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (s.toxic_weight if y else 1.0)
+            for i in features:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / s.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    at, values, bias = tx.train(docs(spark, texts), labels, s)
+    got = dict(zip(at.tolist(), values.tolist(), strict=True))
+    assert 0 < len(got) < 2**9 and got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-12) for i in want) and bias == pytest.approx(weight("bias"), rel=1e-9)
