@@ -7,12 +7,14 @@ index columns, which Spark pushes to the scan. Results are re-based: their index
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import prod
+from functools import reduce
+from math import ceil, prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.index import dims, linear
+from gridloom.operators.boxes import GRID_AXES, LONGEST, resolve
 from gridloom.plans.errors import ArrayError
 
 
@@ -133,6 +135,13 @@ def boxes_frame(spark, starts: Sequence[Sequence[int]], counts: Sequence[Sequenc
     return spark.createDataFrame(rows, ", ".join(["seq long", *[f"s{i} long" for i in range(n)], *[f"c{i} long" for i in range(n)]]))
 
 
+def _cells(counts: Sequence[Sequence[int]], extent: Sequence[int]) -> dict[int, int]:
+    """The axes on which a list of boxes is short within its hull, two at most, and the mean length there: a box touches about two cells on each."""
+    mean = [sum(c[i] for c in counts) / len(counts) for i in range(len(extent))]
+    axes = sorted(range(len(extent)), key=lambda i: mean[i] / max(1, extent[i]))[:GRID_AXES]
+    return {i: max(1, ceil(mean[i])) for i in [a for a in axes if mean[a] <= LONGEST * extent[a]] or axes[:1]}
+
+
 def varn(v: DataFrame, starts: Sequence[Sequence[int]], counts: Sequence[Sequence[int] | None], shape: Sequence[int] | None = None, **checks) -> DataFrame:
     """A list of boxes: each element once for each box that holds it, with the box ``seq``, its index there, and ``place``, its place in that box."""
     n = len(starts[0])
@@ -151,11 +160,14 @@ def varn(v: DataFrame, starts: Sequence[Sequence[int]], counts: Sequence[Sequenc
     if n == 0:
         met = hull.crossJoin(boxes)  # a single cell
     else:
-        # An equi-join on ranges of the first axis; the list came from the driver, so Spark broadcasts it if it is small.
-        width = max(1, (high[0] - low[0]) // max(1, len(starts)))
-        bucket = lambda x: F.call_function("div", x, F.lit(width).cast("long"))
-        spread = boxes.filter("c0 > 0").withColumn("_b", F.explode(F.sequence(bucket(F.col("s0")), bucket(F.col("s0") + F.col("c0") - 1))))
-        met = hull.withColumn("_b", bucket(F.col("d0"))).join(spread, "_b").filter(inside).drop("_b")
+        # An equi-join on cells of a grid; the list came from the driver, so Spark broadcasts it if it is small.
+        spread = boxes.filter(reduce(lambda a, b: a & b, [F.col(f"c{i}") > 0 for i in range(n)]))
+        cells = _cells(full, [h - lo for lo, h in zip(low, high, strict=True)])
+        for i, width in cells.items():
+            at = lambda x, by=width: F.call_function("div", x, F.lit(by).cast("long"))
+            spread = spread.withColumn(f"_b{i}", F.explode(F.sequence(at(F.col(f"s{i}")), at(F.col(f"s{i}") + F.col(f"c{i}") - 1))))
+            hull = hull.withColumn(f"_b{i}", at(F.col(f"d{i}")))
+        met = hull.join(spread, [f"_b{i}" for i in cells]).filter(inside)
     place = F.lit(0).cast("long")
     for i in range(n):
         place = place * F.col(f"c{i}") + (F.col(f"d{i}") - F.col(f"s{i}"))
@@ -184,8 +196,6 @@ def many(requests: Sequence[tuple[int, DataFrame]]) -> DataFrame:
 
 def put(v: DataFrame, written: DataFrame, ndims: int, on_overlap: str = "last") -> DataFrame:
     """A variable after writes (index, value, seq); of several writes to a place the first or last counts, or it is an error."""
-    from gridloom.operators.boxes import resolve
-
     keys = dims(ndims)
     new = resolve(written, keys, on_overlap).select(*keys, "value")
     return v.join(new, keys, "left_anti").select(*keys, "value").unionByName(new)

@@ -63,6 +63,23 @@ def test_lists_of_boxes_against_brute_force(v):
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lists_of_columns(v):
+    shape = (40, 300)
+    wide = L.grid(v.sparkSession, shape).withColumn("value", F.col("d0") * 1000 + F.col("d1"))
+    starts, counts = [[0, j] for j in range(300)] + [[3, 0], [9, 9]], [[40, 1]] * 300 + [[1, 300], [0, 5]]
+    assert S._cells(counts, shape) == {1: 3}  # columns are told apart by the second axis alone, of mean length 605 / 302
+    found = S.varn(wide, starts, counts, shape)
+    got = sorted((r.seq, r.place, r.value) for r in found.collect())
+    want = [(j, i, i * 1000 + j) for j in range(300) for i in range(40)] + [(300, j, 3000 + j) for j in range(300)]
+    assert got == want
+
+
+def test_cells_of_tiles():
+    assert S._cells([[2, 3], [4, 3]], [100, 90]) == {0: 3, 1: 3}
+    assert S._cells([[100, 90]], [100, 90]) == {0: 100}  # one that is the whole hull
+    assert S._cells([[0]], [0]) == {0: 1}
+
+
 def test_writes(v, cube):
     new = L.grid(v.sparkSession, [2, 2], [1, 1]).withColumns({"value": F.lit(-5).cast("long"), "seq": F.lit(1)})
     again = L.grid(v.sparkSession, [1, 1], [1, 1]).withColumns({"value": F.lit(-6).cast("long"), "seq": F.lit(2)})
