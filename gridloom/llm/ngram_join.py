@@ -329,8 +329,11 @@ def bucket_links(docs: DataFrame, items: DataFrame, buckets: DataFrame, s: Setti
         met = _meet(deltas, s)
         lead = F.min(F.struct("nd", "x", "l"))
         keys = met.groupBy("b", "t").agg(F.count_if("few").alias("p"), F.count("*").alias("q"), (F.min("l") != F.max("l")).alias("apart"), lead.alias("lead"))
-        keys = settled(keys.filter("apart and p > 0 and q > 1").withColumn("hot", (F.col("p") > s.direct) & F.lit(turn < s.rounds - 1)))
-        cold = met.join(keys.filter("not hot").select("b", "t"), ["b", "t"])
+        keys = keys.filter("apart and p > 0 and q > 1").withColumn("hot", (F.col("p") > s.direct) & F.lit(turn < s.rounds - 1))
+        # Joined once: both sides of the pairs and the next buckets read it from here.
+        told = settled(met.join(keys.select("b", "t", "hot", F.when(F.col("hot"), F.col("lead")).alias("lead")), ["b", "t"]))
+        discard(met)
+        cold = told.filter("not hot")
         one, two = (cold.select("b", "t", *[F.col(c).alias(f"{c}{k}") for c in ("x", "l", "n", "nd", "left", "few")]) for k in (1, 2))
         one, two = one.filter("few1").drop("few1"), two.drop("few2")
         smaller = F.struct("nd1", "x1") < F.struct("nd2", "x2")
@@ -341,9 +344,9 @@ def bucket_links(docs: DataFrame, items: DataFrame, buckets: DataFrame, s: Setti
         found = _close(pairs, deltas, s).unionByName(deltas.filter("near and b <> x").select(F.least("b", "x").alias("u"), F.greatest("b", "x").alias("v")))
         links = settled(found if links is None else links.unionByName(found))
         discard(buckets)
-        hot = met.join(keys.filter("hot").select("b", "t", "lead"), ["b", "t"]).select(F.col("lead.x").alias("b"), "x", "l", F.col("lead.l").alias("lb"))
+        hot = told.filter("hot").select(F.col("lead.x").alias("b"), "x", "l", F.col("lead.l").alias("lb"))
         buckets = _merged(hot)
-        discard(deltas, met, keys)
+        discard(deltas, told)
         if buckets.isEmpty():
             break
     discard(sets, wanted, buckets)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -369,6 +370,36 @@ def test_near_copies_in_large_groups(spark, monkeypatch, n, words, most):
     assert sum(formed) < n * n / 10, formed
 
 
+def element_joins(spark, run):
+    """Rows made by each join of a bucket's elements with one row a key, as Spark's plans report them."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = {store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())}
+    run()
+    bus.waitUntilEmpty()
+    out, runs = [], store.executionsList()
+    for at in {runs.apply(k).executionId() for k in range(runs.size())} - before:
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and re.search(r"\[b#\d+L?, t#\d+L?\], \[b#\d+L?, t#\d+L?\], Inner(, Build\w+)?(, false)?$", node.desc()):
+                of = {node.metrics().apply(k).name(): node.metrics().apply(k).accumulatorId() for k in range(node.metrics().size())}
+                out.append(int(values.apply(of["number of output rows"]).replace(",", "")))
+    return out
+
+
+def test_elements_of_buckets_are_joined_once(spark, monkeypatch):
+    """A round joins elements with their counts and with what meets there, once each; the rows grow as the group does, not as its square."""
+    meet, rounds, made = nj._meet, [], []
+    monkeypatch.setattr(nj, "_meet", lambda deltas, s: rounds.append(1) or meet(deltas, s))
+    for n in (400, 800):
+        texts = cloud(random.Random(n), n, 40, 6)
+        rounds.clear()
+        rows = element_joins(spark, lambda texts=texts: nj.linked(docs(spark, texts)).collect())
+        assert rounds and len(rows) == 2 * len(rounds)
+        made.append(sum(rows))
+    assert 0 < made[1] < 3 * made[0]
+
+
 def test_sets_with_one_name(spark, monkeypatch):
     """Sets that share their first 64 bits stay apart."""
     own = nj._name
