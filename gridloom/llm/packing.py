@@ -121,22 +121,22 @@ def level(windows: list[list[Piece]], capacity: int) -> list[list[Piece]]:
     return windows
 
 
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_encoders: dict[tuple[str, int], Callable[[str], bytes]] = {}
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids, as little-endian unsigned 32-bit integers; one for each vocabulary and process.
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], bytes]:
+    """A function from a text to its ids, as little-endian unsigned 32-bit integers; one for each vocabulary, cache size and process.
 
     Byte-level BPE never merges over the start of a word with its leading space, over a line end between words, or over the place where
     letters or digits give way to punctuation. So such parts can be encoded one by one and kept;
     texts with other white space are cut only where a space precedes a word.
     """
-    if path not in _encoders:
-        _encoders[path] = _new_encoder(path)
-    return _encoders[path]
+    if (path, cache_words) not in _encoders:
+        _encoders[path, cache_words] = _new_encoder(path, cache_words)
+    return _encoders[path, cache_words]
 
 
-def _new_encoder(path: str) -> Callable[[str], bytes]:
+def _new_encoder(path: str, cache_words: int) -> Callable[[str], bytes]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -176,7 +176,7 @@ def _new_encoder(path: str) -> Callable[[str], bytes]:
             parts = _STARTS.split(text)
         ids = list(map(known.get, parts))
         if None in ids:
-            if len(known) > CACHE_WORDS:
+            if len(known) > cache_words:
                 before.clear()
                 before.update(known)
                 known.clear()
@@ -261,13 +261,16 @@ class _Packer:
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_windows: int = 256) -> DataFrame:
-    """One row for each piece of a document: where it starts, its length and digest, and its place in a sequence."""
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_windows: int = 256, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """One row for each piece of a document: where it starts, its length and digest, and its place in a sequence.
+
+    ``cache_words`` trades a Python worker's memory, some 200 bytes a word and generation, for time; rows do not depend on it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, cache_words)
         packer = _Packer(capacity, group_windows, TaskContext.get().partitionId() << 36)
         end = np.array([end_id], "<u4").tobytes()
 

@@ -1,11 +1,13 @@
 """The pipeline's stages one by one, on what they must survive, and the whole run."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from gridloom.llm.packing import _new_encoder, encoder
 from gridloom.llm.toxicity import score
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,3 +91,21 @@ def test_mixing_counts_rows_by_themselves(spark):
     assert got[0] == got[1] and got[0]
     words = sum(len(r[1].split()) for r in rows)
     assert words - 10 < sum(len(r[1].split()) for r in got[0]) <= words
+
+
+def test_packing_keeps_few_words(monkeypatch):
+    """Packing's workers run beside executors that are full: 400,000 words that differ leave less than 40 MB with one, and ids stay as they are."""
+    asked = {}
+    monkeypatch.setattr(cp, "pack_documents", lambda docs, tokenizer, **more: asked.update(path=tokenizer, **more))
+    cp.packing(None, None, None)
+    encode, rnd = _new_encoder(*(asked[k] for k in ("path", "cache_words") if k in asked)), random.Random(6)
+    texts = [" ".join(f"{rnd.choice(NOUNS)}{rnd.randrange(10**9)}" for _ in range(4000)) for _ in range(100)]
+    tracemalloc.start()
+    try:
+        for t in texts:
+            last = encode(t)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 40e6
+    assert last == encoder(asked["path"])(texts[-1]) == encode(texts[-1])
