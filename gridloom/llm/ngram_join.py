@@ -11,13 +11,16 @@
 
 Groups are first held against one leader under each shingle, which joins most of what belongs together. Where groups of
 different components still meet, they meet within bands of size. Up to ``direct`` items under one shingle and band form their
-pairs. More of them never do: they are put in a bucket under a leader b, and each item x is reduced to its difference d(x) to b,
-the elements that one of both sets has alone. As x and y differ by ``|d(x)| + |d(y)| - 2 |d(x) & d(y)|`` elements,
+pairs. More of them never do: they are put in a bucket under a leader b, the item with the most links in the largest component
+that meets there, so that many shingles give one bucket. Each item x is reduced to its difference d(x) to b, the elements that
+one of both sets has alone. As x and y differ by ``|d(x)| + |d(y)| - 2 |d(x) & d(y)|`` elements,
 
 * two items whose differences do not overlap link only if both link with the leader, which is checked for each item;
 * all other links share an element in the first few of each difference, by rarity in the bucket: a prefix join again, over
-  differences, in which what the bucket has in common no longer appears;
-* elements of differences under which too many still meet give the next buckets, with a new leader each.
+  differences, in which what the bucket has in common no longer appears, nor what one component alone holds;
+* under an element, pairs are formed with the items outside the component that holds it most often, or with those of which it is
+  among the first, whichever are fewer; where either are more than ``direct``, the components are joined by the links found so
+  far, and what still meets then gives the next buckets, with a new leader each.
 
 After ``rounds`` of that all pairs that may still link are formed, so no link is lost; only the time of an input made for it would
 grow there. What meets in a bucket moves as differences of a document's size and is joined by element, never gathered in a task.
@@ -59,7 +62,7 @@ class Settings:
     bloom_bits: int = 24
     #: Shingles that the prefixes of a pair must share.
     shared: int = 6
-    #: Items under one shingle that form their pairs at once, and rounds of leaders for the rest.
+    #: Items under one shingle or element that form their pairs at once, and rounds of leaders for the rest.
     direct: int = 32
     rounds: int = 4
     #: Candidates' ids, 16 bytes each, are broadcast up to this many.
@@ -282,10 +285,10 @@ def _meet(deltas: DataFrame, s: Settings) -> DataFrame:
     which sets of their sizes may differ.
     """
     # Each element moves once for its count and once to come back to its difference.
-    each = deltas.select("b", "x", F.explode("delta").alias("t"))
-    often = each.groupBy("b", "t").agg(F.count("*").alias("f")).filter("f > 1")
-    shared = each.join(often, ["b", "t"]).groupBy("b", "x").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
-    # Elements of one difference alone come first in it; nothing meets there, only their number counts.
+    each = deltas.select("b", "x", "l", F.explode("delta").alias("t"))
+    often = each.groupBy("b", "t").agg(F.count("*").alias("f"), F.min("l").alias("_lo"), F.max("l").alias("_hi")).filter("_lo <> _hi").select("b", "t", "f")
+    shared = each.drop("l").join(often, ["b", "t"]).groupBy("b", "x").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
+    # Elements that one component alone holds come first in a difference; nothing meets there that has to be linked, only their number counts.
     most = _div(F.col("n") * (s.den - s.num), s.num)
     alone = F.size("delta") - F.size("o")
     own = deltas.join(shared, ["b", "x"]).select("b", "x", "l", "n", F.size("delta").alias("nd"), "o", alone.alias("alone"), (most + 1 - alone).alias("long"), (_div(most, 2) + 1 - alone).alias("short"))
@@ -295,7 +298,7 @@ def _meet(deltas: DataFrame, s: Settings) -> DataFrame:
 
 
 def _close(pairs: DataFrame, deltas: DataFrame, s: Settings) -> DataFrame:
-    """Settled: those of the pairs (u, v), both in bucket b, whose differences say that they link."""
+    """Settled: those of the pairs (u, v), both in bucket b, whose differences say that they link, with their components l1 and l2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,17 +306,39 @@ def _close(pairs: DataFrame, deltas: DataFrame, s: Settings) -> DataFrame:
             for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
                 apart = len(np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
                 keep.append((s.den + s.num) * apart <= (s.den - s.num) * (n + m))
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(["u", "v", "l1", "l2"]).filter(pa.array(keep, pa.bool_()))
+
+    one = deltas.select("b", F.col("x").alias("u"), F.col("n").alias("n1"), F.col("delta").alias("d1"), F.col("l").alias("l1"))
+    two = deltas.select("b", F.col("x").alias("v"), F.col("n").alias("n2"), F.col("delta").alias("d2"), F.col("l").alias("l2"))
+    both = pairs.join(one, ["b", "u"]).join(two, ["b", "v"]).select("u", "v", "n1", "n2", "d1", "d2", "l1", "l2")
+    return settled(in_arrow(both, run, "u long, v long, l1 long, l2 long"))
+
+
+def _dealt(rows: DataFrame, told: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with what is told of their key, or null; rows of one key are dealt by the column ``by`` over several tasks."""
+    copies = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(_SALTS)).cast("int")).join(copies, [key, "salt"], "left").drop("salt")
+
 
-    one = deltas.select("b", F.col("x").alias("u"), F.col("n").alias("n1"), F.col("delta").alias("d1"))
-    two = deltas.select("b", F.col("x").alias("v"), F.col("n").alias("n2"), F.col("delta").alias("d2"))
-    return settled(in_arrow(pairs.join(one, ["b", "u"]).join(two, ["b", "v"]).select("u", "v", "n1", "n2", "d1", "d2"), run, "u long, v long"))
+def _after(told: DataFrame, close: DataFrame) -> DataFrame:
+    """The next buckets (b, x, l, lb): what still meets in ``told`` under too many, with the components that the round's links have joined."""
+    now = components(close.select(F.col("l1").alias("u"), F.col("l2").alias("v")), most_rounds=3)  # what is not joined yet only meets again
+    changed = now.filter("node <> label")
+    hot = told.filter("hot").select("b", "t", "x", "l", F.col("lead.x").alias("to"), F.col("lead.l").alias("lb"))
+    for c in ("l", "lb"):
+        hot = _dealt(hot, changed.select(F.col("node").alias(c), F.col("label").alias("_now")), c, "x").withColumn(c, F.coalesce("_now", c)).drop("_now")
+    hot = settled(hot)
+    discard(now)
+    apart = hot.groupBy("b", "t").agg(F.min("l").alias("_lo"), F.max("l").alias("_hi")).filter("_lo <> _hi").select("b", "t")
+    buckets = _merged(hot.join(apart, ["b", "t"], "left_semi").select(F.col("to").alias("b"), "x", "l", "lb"))
+    discard(hot)
+    return buckets
 
 
 def _merged(buckets: DataFrame) -> DataFrame:
-    """Settled: buckets (b, x, l, lb) with those of one component of leaders in one, under its least leader."""
-    first = buckets.groupBy("lb").agg(F.min("b").alias("_b"))
-    return settled(buckets.join(first, "lb").groupBy(F.col("_b").alias("b"), "x").agg(F.min("l").alias("l"), F.min("lb").alias("lb")))
+    """Settled: buckets (b, x, l, lb) with those of one component of leaders in one, under the leader of most of them."""
+    first = buckets.groupBy("lb", "b").agg(F.count("*").alias("c")).groupBy("lb").agg(F.max(F.struct("c", "b"))["b"].alias("_b"))
+    return settled(_dealt(buckets, first, "lb", "x").groupBy(F.col("_b").alias("b"), "x").agg(F.min("l").alias("l"), F.min("lb").alias("lb")))
 
 
 def bucket_links(docs: DataFrame, items: DataFrame, buckets: DataFrame, s: Settings) -> DataFrame | None:
@@ -327,29 +352,34 @@ def bucket_links(docs: DataFrame, items: DataFrame, buckets: DataFrame, s: Setti
     for turn in range(s.rounds):
         deltas = _deltas(buckets, sets, s)
         met = _meet(deltas, s)
-        lead = F.min(F.struct("nd", "x", "l"))
-        keys = met.groupBy("b", "t").agg(F.count_if("few").alias("p"), F.count("*").alias("q"), (F.min("l") != F.max("l")).alias("apart"), lead.alias("lead"))
-        keys = keys.filter("apart and p > 0 and q > 1").withColumn("hot", (F.col("p") > s.direct) & F.lit(turn < s.rounds - 1))
+        per = met.groupBy("b", "t", "l").agg(F.count_if("few").alias("p"), F.count("*").alias("q"), F.min(F.struct("nd", "x", "l")).alias("lead"))
+        keys = per.groupBy("b", "t").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.count("*").alias("parts"), F.max(F.struct("q", "l")).alias("most"), F.min("lead").alias("lead"))
+        # A missing link has an end outside the component that holds the element most often, and its smaller difference is one of the few.
+        rest = F.col("q") - F.col("most.q")
+        keys = keys.filter("parts > 1 and p > 0").withColumn("hot", (F.least("p", rest) > s.direct) & F.lit(turn < s.rounds - 1))
+        keys = keys.select("b", "t", "hot", F.when(F.col("hot"), F.col("lead")).alias("lead"), F.when(rest < F.col("p"), F.col("most.l")).alias("held"))
         # Joined once: both sides of the pairs and the next buckets read it from here.
-        told = settled(met.join(keys.select("b", "t", "hot", F.when(F.col("hot"), F.col("lead")).alias("lead")), ["b", "t"]))
+        told = settled(met.join(keys, ["b", "t"]))
         discard(met)
         cold = told.filter("not hot")
-        one, two = (cold.select("b", "t", *[F.col(c).alias(f"{c}{k}") for c in ("x", "l", "n", "nd", "left", "few")]) for k in (1, 2))
-        one, two = one.filter("few1").drop("few1"), two.drop("few2")
+        one, two = (cold.select("b", "t", *[F.col(c).alias(f"{c}{k}") for c in ("x", "l", "n", "nd", "left", "few", "held")]) for k in (1, 2))
+        one = one.filter(F.coalesce(F.col("l1") != F.col("held1"), "few1")).drop("held1")
         smaller = F.struct("nd1", "x1") < F.struct("nd2", "x2")
+        # Each pair once, as its smaller end comes first or the other one is of the component that holds the element most often.
+        once = (smaller & F.col("few1")) | (~smaller & F.col("few2") & F.coalesce(F.col("l2") == F.col("held2"), F.lit(False)))
         # As many elements must be shared, and so many can be.
         most = _div((F.col("n1") + F.col("n2")) * (s.den - s.num), s.den + s.num)
-        able = smaller & (F.col("l1") != F.col("l2")) & (F.col("nd1") + F.col("nd2") - most <= 2 * F.least("left1", "left2"))
+        able = once & (F.col("l1") != F.col("l2")) & (F.col("nd1") + F.col("nd2") - most <= 2 * F.least("left1", "left2"))
         pairs = one.join(two, ["b", "t"]).filter(able).groupBy(F.least("x1", "x2").alias("u"), F.greatest("x1", "x2").alias("v")).agg(F.min("b").alias("b"))
-        found = _close(pairs, deltas, s).unionByName(deltas.filter("near and b <> x").select(F.least("b", "x").alias("u"), F.greatest("b", "x").alias("v")))
+        close = _close(pairs, deltas, s)
+        found = close.select("u", "v").unionByName(deltas.filter("near and b <> x").select(F.least("b", "x").alias("u"), F.greatest("b", "x").alias("v")))
         links = settled(found if links is None else links.unionByName(found))
         discard(buckets)
-        hot = told.filter("hot").select(F.col("lead.x").alias("b"), "x", "l", F.col("lead.l").alias("lb"))
-        buckets = _merged(hot)
-        discard(deltas, told)
-        if buckets.isEmpty():
+        buckets = None if told.filter("hot").isEmpty() else _after(told, close)
+        discard(deltas, told, close)
+        if buckets is None or buckets.isEmpty():
             break
-    discard(sets, wanted, buckets)
+    discard(sets, wanted, *[buckets] * (buckets is not None))
     return links
 
 
@@ -376,6 +406,9 @@ def item_links(docs: DataFrame, rows: DataFrame, items: DataFrame, s: Settings)
     links = _verify(docs, items, _star(met, members, s).unionByName(members.select(F.col("gid").alias("u"), F.col("sid").alias("v"))), s)
     label = components(links, most_rounds=3)  # what is not joined yet only leaves more to verify
     told = settled(members.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("label", "sid").alias("label")))
+    # The item with the most links stands for its component, and the largest component for those that meet.
+    held = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("c"))
+    centres = settled(label.join(held, "node").groupBy(F.col("label").alias("lb")).agg(F.count("*").alias("weight"), F.max(F.struct("c", "node"))["node"].alias("b")))
     discard(label, members)
     span = settled(told.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")))
     # Bands of size: sets that are near each other are in one band or in neighbours, and meet under the larger one's.
@@ -383,7 +416,7 @@ def item_links(docs: DataFrame, rows: DataFrame, items: DataFrame, s: Settings)
     spanned = met.join(span, "gid").select("token", "gid", "n", "i", "lo", "hi", "size", band.alias("own"))
     several = spanned.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).filter("_lo <> _hi").select("token")
     banded = settled(spanned.join(several, "token").withColumn("band", F.explode(F.array("own", F.col("own") + 1))))
-    places = banded.groupBy("token", "band").agg(F.sum("size").alias("c"), F.min("gid").alias("lead"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).filter("_lo <> _hi").drop("_lo", "_hi")
+    places = banded.groupBy("token", "band").agg(F.sum("size").alias("c"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).filter("_lo <> _hi").drop("_lo", "_hi")
     left = settled(banded.join(places, ["token", "band"]))
     discard(met, banded)
     # Few under a shingle: pairs of groups.
@@ -402,11 +435,13 @@ def item_links(docs: DataFrame, rows: DataFrame, items: DataFrame, s: Settings)
     two = told.select(F.col("gid").alias("h"), F.col("sid").alias("v"), F.col("label").alias("l2"))
     links = links.unionByName(_verify(docs, items, rest.join(one, "g").join(two, "h").filter("l1 <> l2").select("u", "v"), s))
     # Many: buckets of items.
-    many = left.filter(F.col("c") > s.direct).select(F.col("lead").alias("b"), "gid").distinct()
-    many = many.unionByName(split.filter(F.col("size") > s.direct).select(F.col("gid").alias("b"), "gid"))
-    many = many.join(told, "gid").select("b", F.col("sid").alias("x"), F.col("label").alias("l"))
-    more = bucket_links(docs, items, many.join(told.select(F.col("sid").alias("b"), F.col("label").alias("lb")), "b"), s)
-    discard(left, told, span)
+    hot = left.filter(F.col("c") > s.direct).select("token", "band", "gid", F.col("lo").alias("lb"))
+    lead = _dealt(hot, centres.select("lb", "weight"), "lb", "gid").groupBy("token", "band").agg(F.max(F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), "lb"))["lb"].alias("lb"))
+    many = hot.drop("lb").join(lead, ["token", "band"]).select("gid", "lb")
+    many = many.unionByName(split.filter(F.col("size") > s.direct).select("gid", F.col("lo").alias("lb"))).distinct()
+    many = _dealt(many, centres.select("lb", "b"), "lb", "gid").join(told, "gid")
+    more = bucket_links(docs, items, many.select(F.coalesce("b", "lb").alias("b"), F.col("sid").alias("x"), F.col("label").alias("l"), "lb"), s)
+    discard(left, told, span, centres)
     return links if more is None else links.unionByName(more)
 
 

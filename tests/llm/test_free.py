@@ -400,6 +400,24 @@ def test_elements_of_buckets_are_joined_once(spark, monkeypatch):
     assert 0 < made[1] < 3 * made[0]
 
 
+def test_two_large_groups_under_common_shingles(spark, monkeypatch):
+    """Near copies of two texts that share most shingles but never link: links found are used at once, so that few meet again."""
+    rnd, n, words = random.Random(1), 200, 150
+    base = [f"w{k}" for k in range(words)]
+    texts = []
+    for text in (base, ["v" if k >= 10 and k % 25 == 10 else w for k, w in enumerate(base)]):
+        for _ in range(n):
+            t = list(text)
+            for _ in range(rnd.randrange(1, 5)):
+                t[rnd.randrange(words)] = f"y{rnd.randrange(2 * n)}"
+            texts.append(" ".join(t))
+    meet, rounds, got = nj._meet, [], []
+    monkeypatch.setattr(nj, "_meet", lambda deltas, s: rounds.append(deltas.count()) or meet(deltas, s))
+    made = element_joins(spark, lambda: got.extend(nj.linked(docs(spark, texts)).collect()))
+    assert sorted(map(tuple, got)) == brute_components(texts)
+    assert len(rounds) < nj.Settings().rounds and sum(made) < 60 * len(texts), (rounds, made)
+
+
 def test_sets_with_one_name(spark, monkeypatch):
     """Sets that share their first 64 bits stay apart."""
     own = nj._name
